@@ -10,6 +10,30 @@ from .common import prepare, read
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    rows = near_duplicates(read(prepare(spark), sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    rows = dedup(read(prepare(spark), sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn, predict
+
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    rows = predict(docs, learn(docs, allowed=part != 0))
+    held_out = F.coalesce(part == 0, F.lit(False)).alias("held_out")
+    return rows.select("doc_id", held_out, "language.lang_pred", "language.score", "language.entropy", "language.accepted")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -48,5 +72,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mix, op6_mpeg_audio, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
