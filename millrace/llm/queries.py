@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import fresh_path, prepare, read
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+#: A conversation whose texts consist of control strings, beside those of the table.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import as_log, format_log, parse
+
+    rows = read(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"),
+    )
+    log = as_log(rows.unionByName(more), conversation="conv_id", turn="turn", role="role", text="text")
+    back = parse(format_log(log))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return back.select(
+        F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -72,5 +95,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_archives
+
+    manifest = archive(read(prepare(spark), sf_dir, "pages"), fresh_path(spark, "warc"))
+    rows = read_archives(manifest, payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc)}
 ORACLE_SQL: dict[str, str] = {}
