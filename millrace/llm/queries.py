@@ -103,5 +103,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    rows = extract(read(prepare(spark), sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
