@@ -103,6 +103,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_duplicates
+
+    rows = near_duplicates(read(prepare(spark), sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -110,5 +118,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc, op9_hnsw, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
