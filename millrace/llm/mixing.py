@@ -112,13 +112,13 @@ def lines(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, *, id: str = "doc_id", source: str = "source", size: Column | None = None,
+    docs: DataFrame, *, id: str = "doc_id", source: str = "source", size: Column | None = None, mark: Column | None = None,
     weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, block: int = 4096, seed: int = 20260101,
 ) -> Mix:
-    """The mix of ``docs``: sizes, targets, and the plan of (slot, block, document, words)."""
+    """The mix of ``docs``: sizes, targets, and the plan of (slot, block, document, words). ``mark`` is carried along as is."""
     spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
-    raw = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size.alias("size"))
+    raw = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size.alias("size"), (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
     raw = cut(raw.withColumn("row", F.monotonically_increasing_id()))
     sources = written(targets(raw, weights, max_epochs), "sources")
     sized = raw.join(sources.select("src", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -148,3 +148,13 @@ def mix(
         "slot", "src", "block", "epoch", "row", "id", (F.col("a") - F.col("start")).alias("first_word"), (F.col("b") - F.col("a")).alias("words")
     )
     return Mix(sized, sources, plan)
+
+
+def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes (part of) them. Rows that repeat id and text are taken alike."""
+    m = mix(docs, id=id, source=source, size=word_count(F.col(text)), mark=F.xxhash64(text), **options)
+    copies = m.plan.select("row", "epoch").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    taken = m.sized.select("row", "id", "mark").join(copies, "row").groupBy("id", "mark").agg(F.max("n").alias("_n"))
+    taken = written(taken.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "_n"), "copies")
+    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark"))
+    return docs.join(taken, same).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)

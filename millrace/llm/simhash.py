@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, written
 from .components import components
 
 MAX_BITS = 4
@@ -256,11 +256,26 @@ def link(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, fp (the fingerprint's bits as a long) and component_id, the smallest id of its group."""
-    rows = cut(docs.select(F.col(id).alias("id"), fingerprints(F.col(text)).alias("fp")))
+    """One row per row of ``docs``: id, x (a hash of the text), fp (the fingerprint's bits as a long), root (the
+    same for all of a group) and component_id, the smallest id of the group."""
+    rows = cut(docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("x"), fingerprints(F.col(text)).alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(link(distinct))
     of = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = cut(of.groupBy("root").agg(F.min("first").alias("component_id")))
-    groups = cut(of.join(least, "root").select("fp", "component_id"))
-    return rows.join(groups, "fp").select("id", "fp", "component_id")
+    groups = cut(of.join(least, "root").select("fp", "root", "component_id"))
+    return rows.join(groups, "fp").select("id", "x", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text."""
+    rows = cut(near_duplicates(docs, id=id, text=text).select("id", "x", "root"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "x")
+    kept = cut(rows.groupBy("root").agg(F.min(rank).alias("kept")))
+    others = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("x") == F.col("kept.x"))))
+    others = written(others.select(F.col("id").alias("_id"), F.col("x").alias("_x")).distinct(), "others")
+    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_x"))
+    left = docs.join(others, same, "left_anti")
+    if not rows.groupBy("id", "x").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        left = left.withColumn("_x", F.xxhash64(text)).dropDuplicates([id, "_x"]).drop("_x")
+    return left

@@ -277,3 +277,14 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: in
         F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
         F.when(whole, everything).otherwise(F.col("spans")).alias("spans"),
     )
+
+
+def drop_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` without repeated windows. Texts that lose words become what is left, joined by one space; others stay as
+    they are, and documents that lose all words are left out."""
+    found = dedup(docs, id=id, text=text, window=window).filter("n_removed > 0")
+    found = found.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_x"])
+    found = written(found, "changed")
+    same = (F.col(id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_x"))
+    rows = docs.join(found, same, "left").filter("_kept IS NULL OR _kept != ''")
+    return rows.withColumn(text, F.coalesce("_kept", text)).select(*docs.columns)
