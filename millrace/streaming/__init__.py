@@ -1,0 +1 @@
+"""No streaming operators: all queries are batch queries."""
