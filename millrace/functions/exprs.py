@@ -8,6 +8,8 @@ millions and of the rest, and put together once for each group as a decimal.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
@@ -71,6 +73,29 @@ def year_of(day: Column) -> Column:
     return F.year(day).cast("long")
 
 
-def day_after(day: str, *, months: int = 0, days: int = 0) -> Column:
-    """A date literal moved by months or days; folded before the plan runs."""
-    return F.date_add(F.add_months(F.lit(day).cast("date"), months), days)
+def moved(day: str, *, months: int = 0, days: int = 0) -> str:
+    """A day moved by months (to the month's last day at most), then by days."""
+    start = date.fromisoformat(day)
+    k = start.year * 12 + start.month - 1 + months
+    last = (date(k // 12 + k % 12 // 11, (k % 12 + 1) % 12 + 1, 1) - timedelta(1)).day
+    return (date(k // 12, k % 12 + 1, min(start.day, last)) + timedelta(days)).isoformat()
+
+
+def since(name: str, day: str) -> Column:
+    """From ``day`` on. Compares the column as it is stored, so the scan can skip by it."""
+    return F.col(f"{name}_at") >= F.lit(day)
+
+
+def before(name: str, day: str) -> Column:
+    """Before the start of ``day``, as stored."""
+    return F.col(f"{name}_at") < F.lit(day)
+
+
+def between_days(name: str, first: str, last: str) -> Column:
+    """From ``first`` to ``last``, both included."""
+    return since(name, first) & before(name, moved(last, days=1))
+
+
+def months_from(name: str, day: str, months: int) -> Column:
+    """A half-open range of months that starts on ``day``."""
+    return since(name, day) & before(name, moved(day, months=months))

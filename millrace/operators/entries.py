@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import charge_6, day_after, exact_ratio, money, profit_4, revenue_4, total, year_of
+from ..functions import before, between_days, charge_6, exact_ratio, money, moved, profit_4, revenue_4, since, total, year_of
 from ..plans.oracle import REV, with_typed
 from ..sources.tables import Tables, load_tables
 from . import relational as R
@@ -24,10 +24,6 @@ def _entry(sql: str) -> Callable:
     return register
 
 
-def _day(text: str):
-    return lit(text).cast("date")
-
-
 @_entry("SELECT l_orderkey, l_partkey, CAST(l_quantity AS DOUBLE) AS quantity FROM t_lineitem")
 def scan_project(t):
     return t.lineitem.select("l_orderkey", "l_partkey", col("l_quantity").alias("quantity"))
@@ -35,7 +31,7 @@ def scan_project(t):
 
 @_entry("SELECT o_orderkey, o_orderdate FROM t_orders WHERE o_orderdate >= DATE '1996-09-01' AND o_orderdate < DATE '1996-12-01'")
 def filter_date_range(t):
-    return t.orders.filter((col("o_orderdate") >= _day("1996-09-01")) & (col("o_orderdate") < _day("1996-12-01"))).select("o_orderkey", "o_orderdate")
+    return t.orders.filter(since("o_orderdate", "1996-09-01") & before("o_orderdate", "1996-12-01")).select("o_orderkey", "o_orderdate")
 
 
 @_entry("SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) + 0.0 AS discount FROM t_lineitem WHERE l_discount BETWEEN 0.08 - 0.01 AND 0.08 + 0.01 AND l_quantity < 24")
@@ -118,7 +114,7 @@ def expr_year(t):
 
 @_entry("SELECT count(*) AS n FROM t_lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '100' DAY AND l_shipdate >= DATE '1996-02-01' + INTERVAL '3' MONTH")
 def expr_date_interval(t):
-    return t.lineitem.filter((col("l_shipdate") <= day_after("1998-12-01", days=-100)) & (col("l_shipdate") >= day_after("1996-02-01", months=3))).agg(F.count(lit(1)).alias("n"))
+    return t.lineitem.filter(between_days("l_shipdate", moved("1996-02-01", months=3), moved("1998-12-01", days=-100))).agg(F.count(lit(1)).alias("n"))
 
 
 @_entry("SELECT substring(c_phone, 1, 2) AS cntrycode, count(*) AS n FROM t_customer GROUP BY 1")
@@ -172,7 +168,7 @@ def join_disjunctive(t):
 
 @_entry("SELECT c_custkey, count(o_orderkey) AS c_count FROM t_customer LEFT JOIN t_orders ON c_custkey = o_custkey AND o_orderdate >= DATE '2001-01-01' GROUP BY c_custkey")
 def join_left_outer_on_filter(t):
-    rows = R.outer_filtered(t.customer, t.orders, col("c_custkey") == col("o_custkey"), col("o_orderdate") >= _day("2001-01-01"))
+    rows = R.outer_filtered(t.customer, t.orders, col("c_custkey") == col("o_custkey"), since("o_orderdate", "2001-01-01"))
     return rows.groupBy("c_custkey").agg(F.count("o_orderkey").alias("c_count"))
 
 
@@ -195,7 +191,7 @@ def join_semi_residual(t):
 
 @_entry("SELECT c_custkey FROM t_customer WHERE NOT EXISTS (SELECT * FROM t_orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2001-01-01')")
 def join_anti_not_exists(t):
-    return R.anti(t.customer, t.orders.filter(col("o_orderdate") >= _day("2001-01-01")), col("c_custkey") == col("o_custkey")).select("c_custkey")
+    return R.anti(t.customer, t.orders.filter(since("o_orderdate", "2001-01-01")), col("c_custkey") == col("o_custkey")).select("c_custkey")
 
 
 @_entry("SELECT l1.l_orderkey, l1.l_suppkey FROM t_lineitem l1 WHERE NOT EXISTS (SELECT * FROM t_lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_receiptdate > l3.l_commitdate)")
@@ -231,7 +227,7 @@ def scalar_correlated_avg(t):
 
 @_entry("SELECT ps_partkey, ps_suppkey FROM t_partsupp WHERE ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM t_lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= DATE '1997-01-01')")
 def scalar_correlated_sum(t):
-    sold = R.per_key(t.lineitem.filter(col("l_shipdate") >= _day("1997-01-01")), ["l_partkey", "l_suppkey"], F.sum("l_quantity_c"), "sold")
+    sold = R.per_key(t.lineitem.filter(since("l_shipdate", "1997-01-01")), ["l_partkey", "l_suppkey"], F.sum("l_quantity_c"), "sold")
     rows = t.partsupp.join(sold, (col("ps_partkey") == col("l_partkey")) & (col("ps_suppkey") == col("l_suppkey")))
     return rows.filter("ps_availqty * 200 > sold").select("ps_partkey", "ps_suppkey")
 

@@ -20,23 +20,20 @@ from types import SimpleNamespace as Q
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import charge_6, cost_4, day_after, discount_value_4, exact_ratio, money, profit_4, revenue_4, total, total_exact, year_of
+from ..functions import (
+    before, between_days, charge_6, cost_4, discount_value_4, exact_ratio, money, months_from, moved, profit_4, revenue_4, since, total, total_exact, year_of,
+)
 from ..sources.tables import Tables, load_tables
 
 col = F.col
 
 
-def _from(day: str, name: str, *, months: int):
-    """A half-open range of months that starts on ``day``."""
-    return (col(name) >= F.lit(day).cast("date")) & (col(name) < day_after(day, months=months))
-
-
 def _suppliers(t: Tables, nation: str) -> DataFrame:
     return t.supplier.join(t.nation.filter(col("n_name") == nation), col("s_nationkey") == col("n_nationkey"))
 
 
 def q1(t: Tables, p: Q) -> DataFrame:
-    rows = t.lineitem.filter(col("l_shipdate") <= day_after(p.day, days=-p.days))
+    rows = t.lineitem.filter(before("l_shipdate", moved(p.day, days=1 - p.days)))
     n = F.count(F.lit(1))
 
     def mean(name: str):
@@ -64,8 +61,8 @@ def q2(t: Tables, p: Q) -> DataFrame:
 
 def q3(t: Tables, p: Q) -> DataFrame:
     buyers = t.customer.filter(col("c_mktsegment") == p.segment).select("c_custkey")
-    orders = t.orders.filter(col("o_orderdate") < F.lit(p.day).cast("date")).join(buyers, col("o_custkey") == col("c_custkey"))
-    lines = t.lineitem.filter(col("l_shipdate") > F.lit(p.day).cast("date"))
+    orders = t.orders.filter(before("o_orderdate", p.day)).join(buyers, col("o_custkey") == col("c_custkey"))
+    lines = t.lineitem.filter(since("l_shipdate", moved(p.day, days=1)))
     return (
         lines.join(orders, col("l_orderkey") == col("o_orderkey")).groupBy("l_orderkey", "o_orderdate", "o_shippriority")
         .agg(total(revenue_4(), 4).alias("revenue")).select("l_orderkey", "revenue", "o_orderdate", "o_shippriority")
@@ -75,7 +72,7 @@ def q3(t: Tables, p: Q) -> DataFrame:
 
 def q4(t: Tables, p: Q) -> DataFrame:
     late = t.lineitem.filter("l_commitdate < l_receiptdate").select("l_orderkey")
-    orders = t.orders.filter(_from(p.day, "o_orderdate", months=3))
+    orders = t.orders.filter(months_from("o_orderdate", p.day, 3))
     rows = orders.join(late, col("o_orderkey") == col("l_orderkey"), "left_semi")
     return rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count")).orderBy("o_orderpriority")
 
@@ -83,14 +80,15 @@ def q4(t: Tables, p: Q) -> DataFrame:
 def q5(t: Tables, p: Q) -> DataFrame:
     nations = t.nation.join(t.region.filter(col("r_name") == p.region), col("n_regionkey") == col("r_regionkey"))
     sellers = t.supplier.join(nations, col("s_nationkey") == col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
-    orders = t.orders.filter(_from(p.day, "o_orderdate", months=12)).join(t.customer, col("o_custkey") == col("c_custkey")).select("o_orderkey", "c_nationkey")
+    orders = t.orders.filter(months_from("o_orderdate", p.day, 12)).join(t.customer, col("o_custkey") == col("c_custkey")).select("o_orderkey", "c_nationkey")
     rows = t.lineitem.join(sellers, col("l_suppkey") == col("s_suppkey")).join(orders, (col("l_orderkey") == col("o_orderkey")) & (col("s_nationkey") == col("c_nationkey")))
     return rows.groupBy("n_name").agg(total(revenue_4(), 4).alias("revenue")).orderBy(col("revenue").desc())
 
 
 def q6(t: Tables, p: Q) -> DataFrame:
     cents = round(p.discount * 100)
-    rows = t.lineitem.filter(_from(p.day, "l_shipdate", months=12) & col("l_discount_c").between(cents - 1, cents + 1) & (col("l_quantity") < p.quantity))
+    near = col("l_discount").between((cents - 1.5) / 100, (cents + 1.5) / 100)  # a wider range that the scan can skip by
+    rows = t.lineitem.filter(months_from("l_shipdate", p.day, 12) & near & col("l_discount_c").between(cents - 1, cents + 1) & (col("l_quantity") < p.quantity))
     return rows.agg(total(discount_value_4(), 4).alias("revenue"))
 
 
@@ -98,7 +96,7 @@ def q7(t: Tables, p: Q) -> DataFrame:
     both = t.nation.filter(col("n_name").isin(p.one, p.other))
     sellers = t.supplier.join(both, col("s_nationkey") == col("n_nationkey")).select("s_suppkey", col("n_name").alias("supp_nation"))
     buyers = t.customer.join(both, col("c_nationkey") == col("n_nationkey")).select("c_custkey", col("n_name").alias("cust_nation"))
-    lines = t.lineitem.filter(col("l_shipdate").between(F.lit(p.first).cast("date"), F.lit(p.last).cast("date")))
+    lines = t.lineitem.filter(between_days("l_shipdate", p.first, p.last))
     orders = t.orders.join(buyers, col("o_custkey") == col("c_custkey")).select("o_orderkey", "cust_nation")
     rows = lines.join(sellers, col("l_suppkey") == col("s_suppkey")).join(orders, col("l_orderkey") == col("o_orderkey")).filter("supp_nation != cust_nation")
     return (
@@ -111,7 +109,7 @@ def q8(t: Tables, p: Q) -> DataFrame:
     parts = t.part.filter(col("p_type") == p.type).select("p_partkey")
     nations = t.nation.join(t.region.filter(col("r_name") == p.region), col("n_regionkey") == col("r_regionkey")).select("n_nationkey")
     buyers = t.customer.join(nations, col("c_nationkey") == col("n_nationkey")).select("c_custkey")
-    orders = t.orders.filter(col("o_orderdate").between(F.lit(p.first).cast("date"), F.lit(p.last).cast("date"))).join(buyers, col("o_custkey") == col("c_custkey"))
+    orders = t.orders.filter(between_days("o_orderdate", p.first, p.last)).join(buyers, col("o_custkey") == col("c_custkey"))
     sellers = t.supplier.join(t.nation, col("s_nationkey") == col("n_nationkey")).select("s_suppkey", "n_name")
     rows = (
         t.lineitem.join(parts, col("l_partkey") == col("p_partkey")).join(orders.select("o_orderkey", "o_orderdate"), col("l_orderkey") == col("o_orderkey"))
@@ -137,7 +135,7 @@ def q9(t: Tables, p: Q) -> DataFrame:
 
 
 def q10(t: Tables, p: Q) -> DataFrame:
-    orders = t.orders.filter(_from(p.day, "o_orderdate", months=3)).select("o_orderkey", "o_custkey")
+    orders = t.orders.filter(months_from("o_orderdate", p.day, 3)).select("o_orderkey", "o_custkey")
     lines = t.lineitem.filter(col("l_returnflag") == p.flag)
     lost = lines.join(orders, col("l_orderkey") == col("o_orderkey")).groupBy("o_custkey").agg(total(revenue_4(), 4).alias("revenue"))
     rows = lost.join(t.customer, col("o_custkey") == col("c_custkey")).join(t.nation, col("c_nationkey") == col("n_nationkey"))
@@ -156,7 +154,7 @@ def q11(t: Tables, p: Q) -> DataFrame:
 
 def q12(t: Tables, p: Q) -> DataFrame:
     lines = t.lineitem.filter(col("l_shipmode").isin(*p.modes)).filter("l_commitdate < l_receiptdate AND l_shipdate < l_commitdate")
-    rows = lines.filter(_from(p.day, "l_receiptdate", months=12)).join(t.orders, col("l_orderkey") == col("o_orderkey"))
+    rows = lines.filter(months_from("l_receiptdate", p.day, 12)).join(t.orders, col("l_orderkey") == col("o_orderkey"))
     urgent = col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return (
         rows.groupBy("l_shipmode").agg(F.count_if(urgent).alias("high_line_count"), F.count_if(~urgent).alias("low_line_count")).orderBy("l_shipmode")
@@ -171,13 +169,13 @@ def q13(t: Tables, p: Q) -> DataFrame:
 
 
 def q14(t: Tables, p: Q) -> DataFrame:
-    rows = t.lineitem.filter(_from(p.day, "l_shipdate", months=1)).join(t.part, col("l_partkey") == col("p_partkey"))
+    rows = t.lineitem.filter(months_from("l_shipdate", p.day, 1)).join(t.part, col("l_partkey") == col("p_partkey"))
     promo = F.when(col("p_type").startswith(p.prefix), revenue_4()).otherwise(F.lit(0).cast("long"))
     return rows.agg((100.0 * total(promo, 4) / total(revenue_4(), 4)).alias("promo_revenue"))
 
 
 def q15(t: Tables, p: Q) -> DataFrame:
-    per = t.lineitem.filter(_from(p.day, "l_shipdate", months=3)).groupBy("l_suppkey").agg(total_exact(revenue_4(), 4).alias("exact"))
+    per = t.lineitem.filter(months_from("l_shipdate", p.day, 3)).groupBy("l_suppkey").agg(total_exact(revenue_4(), 4).alias("exact"))
     best = per.agg(F.max("exact").alias("best"))
     rows = per.join(best, col("exact") == col("best")).join(t.supplier, col("l_suppkey") == col("s_suppkey"))
     return rows.select("s_suppkey", "s_name", "s_address", "s_phone", col("exact").cast("double").alias("total_revenue")).orderBy("s_suppkey")
@@ -224,7 +222,7 @@ def q19(t: Tables, p: Q) -> DataFrame:
 
 def q20(t: Tables, p: Q) -> DataFrame:
     parts = t.part.filter(col("p_name").startswith(p.prefix)).select("p_partkey")
-    lines = t.lineitem.filter(_from(p.day, "l_shipdate", months=12)).join(parts, col("l_partkey") == col("p_partkey"), "left_semi")
+    lines = t.lineitem.filter(months_from("l_shipdate", p.day, 12)).join(parts, col("l_partkey") == col("p_partkey"), "left_semi")
     sold = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity_c").alias("sold"))
     offers = t.partsupp.join(parts, col("ps_partkey") == col("p_partkey"), "left_semi")
     surplus = offers.join(sold, (col("ps_partkey") == col("l_partkey")) & (col("ps_suppkey") == col("l_suppkey"))).filter("ps_availqty * 200 > sold")
@@ -247,7 +245,7 @@ def q22(t: Tables, p: Q) -> DataFrame:
     code = F.substring("c_phone", 1, 2)
     people = t.customer.withColumn("cntrycode", code).filter(col("cntrycode").isin(*p.codes)).select("c_custkey", "cntrycode", "c_acctbal_c")
     mean = people.filter("c_acctbal_c > 0").agg((F.sum("c_acctbal_c") / F.count("c_acctbal_c")).alias("mean"))
-    orders = t.orders.filter(col("o_orderdate") >= F.lit(p.since).cast("date")) if p.since else t.orders
+    orders = t.orders.filter(since("o_orderdate", p.since)) if p.since else t.orders
     idle = people.join(mean, col("c_acctbal_c") > col("mean")).join(orders.select("o_custkey"), col("c_custkey") == col("o_custkey"), "left_anti")
     return idle.groupBy("cntrycode").agg(F.count(F.lit(1)).alias("numcust"), total(col("c_acctbal_c"), 2).alias("totacctbal")).orderBy("cntrycode")
 

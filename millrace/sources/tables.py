@@ -3,7 +3,7 @@
 Each is one Parquet file or folder. Columns the star schema has and the files lack are
 derived from keys by integer arithmetic, so any SQL engine can derive the same (see
 ``plans.oracle``); where the files have them, they are read. Amounts also come as
-hundredths (``_c``), and days as dates. Everything is lazy: a query reads the columns it uses.
+hundredths (``_c``), and days as dates and as stored (``_at``). Everything is lazy: a query reads the columns it uses.
 """
 
 from __future__ import annotations
@@ -88,8 +88,9 @@ def typed(raw: DataFrame, name: str) -> DataFrame:
         raise MissingColumns(f"{name}: {', '.join(missing)}")
     kinds = {f.name: f.dataType for f in raw.schema}
     df = raw.withColumns({k: v for k, v in _derived().get(name, {}).items() if k not in kinds})
-    days = {c: F.col(c).cast("date") for c in _DAYS.get(name, ()) if not isinstance(kinds.get(c, DateType()), DateType)}
-    return df.withColumns({f"{c}_c": hundredths(F.col(c), kinds[c]) for c in _MONEY.get(name, ())} | days)
+    own = _DAYS.get(name, ())
+    df = df.withColumns({f"{c}_at": F.col(c) for c in own} | {f"{c}_c": hundredths(F.col(c), kinds[c]) for c in _MONEY.get(name, ())})
+    return df.withColumns({c: F.col(c).cast("date") for c in own if not isinstance(kinds.get(c, DateType()), DateType)})
 
 
 def supplied(lineitem: DataFrame) -> DataFrame:
