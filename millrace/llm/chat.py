@@ -10,8 +10,9 @@ message, role, text), where kind is
                   opened before.
 
 Logs are partitioned by conversation and sorted by sequence; rows of one message
-are reduced together (text since its last opening, edit or regeneration).
-Messages come in order of their number, then of their opening.
+are reduced together (text since its last opening, edit or regeneration). A message
+that was dropped can be opened again. Messages come in order of their number. A regeneration counts
+even if its own message was dropped before.
 
 ``render`` writes a conversation as
 
@@ -66,7 +67,7 @@ def fold(log: DataFrame) -> DataFrame:
     opens, resets = F.col("kind") == "message", F.col("kind") != "delta"
     event = F.struct("seq", "kind", "role", "text")
     pieces = rows.groupBy("conversation", "message").agg(
-        F.min(F.when(opens, event)).alias("open"),
+        F.max(F.when(opens, event)).alias("open"),
         F.max(F.when(resets, F.struct("seq", "kind", "role", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text")))).alias("reset"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
         F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text"))).alias("deltas"),
