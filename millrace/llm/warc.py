@@ -130,7 +130,7 @@ class Writer:
     def _open(self) -> None:
         self.path = f"{self.folder}/{self.stem}-{len(self.done):04d}.warc.zst"
         self.fs.create_dir(self.folder, recursive=True)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         raw = self.dictionary.as_bytes()
         self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
         about = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, self.stem)}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
@@ -222,7 +222,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     def rows(path: str) -> Iterator[tuple]:
         fs, own = filesystem(path)
-        with fs.open_input_stream(own) as stream:
+        with fs.open_input_stream(own, compression=None) as stream:
             for f, block in records(frames(stream)):
                 kind = f["warc-type"]
                 if kind not in ("response", "revisit"):
