@@ -6,8 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +75,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Drop columns whose names an operator is about to write (in any case)."""
-    taken = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in taken])
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

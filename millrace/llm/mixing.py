@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count, written
+from .common import apart, cut, word_count, written
 
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted together; grid cells that map points to sources; documents summed together.
@@ -155,6 +155,7 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: st
     m = mix(docs, id=id, source=source, size=word_count(F.col(text)), mark=F.xxhash64(text), **options)
     copies = m.plan.select("row", "epoch").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     taken = m.sized.select("row", "id", "mark").join(copies, "row").groupBy("id", "mark").agg(F.max("n").alias("_n"))
-    taken = written(taken.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "_n"), "copies")
-    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark"))
-    return docs.join(taken, same).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    i, mark, n, k = apart(docs, "_id", "_mark", "_n", "_k")
+    taken = written(taken.select(F.col("id").alias(i), F.col("mark").alias(mark), F.col("_n").alias(n)), "copies")
+    rows = docs.join(taken, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(mark)))
+    return rows.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, written
+from .common import apart, cut, written
 from .components import components
 
 MAX_BITS = 4
@@ -273,9 +273,9 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "x")
     kept = cut(rows.groupBy("root").agg(F.min(rank).alias("kept")))
     others = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("x") == F.col("kept.x"))))
-    others = written(others.select(F.col("id").alias("_id"), F.col("x").alias("_x")).distinct(), "others")
-    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_x"))
-    left = docs.join(others, same, "left_anti")
+    i, x = apart(docs, "_id", "_x")
+    others = written(others.select(F.col("id").alias(i), F.col("x").alias(x)).distinct(), "others")
+    left = docs.join(others, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(x)), "left_anti")
     if not rows.groupBy("id", "x").count().filter("count > 1").isEmpty():  # rows that repeat id and text
-        left = left.withColumn("_x", F.xxhash64(text)).dropDuplicates([id, "_x"]).drop("_x")
+        left = left.withColumn(x, F.xxhash64(text)).dropDuplicates([id, x]).drop(x)
     return left

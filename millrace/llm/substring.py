@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, written
+from .common import apart, cut, written
 
 WINDOW = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -49,7 +49,7 @@ _WORDS = 500_000
 def levels(window: int) -> list[int]:
     """Lengths of the levels below ``window``, each at least half the next."""
     out, n = [], window
-    while len(out) < 2 and n > 2:
+    while len(out) < 2 and n > 1:
         n = -(-n // 2)
         out.append(n)
     return out[::-1]
@@ -237,8 +237,8 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: in
     ``kept`` is the remaining words joined by one space, and ``spans`` the removed ranges of
     words; both are null where nothing is removed. ``id`` must be a long.
     """
-    if window < 4:
-        raise ValueError("windows of fewer than four words have no two levels below them")
+    if window < 3:
+        raise ValueError("windows of fewer than three words have no two levels below them")
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("text"))
     row = "id long, x long, n_words long, sha string, anchors array<struct<h: long, l: long, r: long>>"
@@ -282,9 +282,10 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: in
 def drop_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without repeated windows. Texts that lose words become what is left, joined by one space; others stay as
     they are, and documents that lose all words are left out."""
+    i, x, kept = apart(docs, "_id", "_x", "_kept")
     found = dedup(docs, id=id, text=text, window=window).filter("n_removed > 0")
-    found = found.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_x"])
+    found = found.select(F.col("id").alias(i), F.col("x").alias(x), F.col("kept").alias(kept)).dropDuplicates([i, x])
     found = written(found, "changed")
-    same = (F.col(id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_x"))
-    rows = docs.join(found, same, "left").filter("_kept IS NULL OR _kept != ''")
-    return rows.withColumn(text, F.coalesce("_kept", text)).select(*docs.columns)
+    rows = docs.join(found, (F.col(id).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left")
+    rows = rows.filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    return rows.withColumn(text, F.coalesce(kept, text)).select(*docs.columns)
