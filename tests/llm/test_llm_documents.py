@@ -1,0 +1,437 @@
+"""Operators over documents against brute force, with the edge cases their docstrings define."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import DATA
+from millrace.llm import queries as Q
+from millrace.llm.common import prepare
+
+SF = f"{DATA}/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{k * k % 977}" for k in range(60_000))
+#: doc_id, text, lang, source; extra columns clash with names that operators use inside or write.
+EDGES = [
+    (1, None, "en", None), (2, "", "en", ""), (3, " \t\n\r\x0b\f ", "de", "b"), (4, "One", "en", "b"), (5, "one TWO three", "en", "b"),
+    (6, LONG, "en", "a"), (7, LONG, "en", "a"), (8, "x " * 300, "fr", "a"), (8, "x " * 300, "fr", "a"), (None, LONG, None, "a"),
+    (9, "é ß \U0001f600 ▁▁ <s> </s>  zwei  ", "de", "ß"), (10, "123 456 ...", "en", "b"), (11, "\x00\x01 z", None, "b"),
+]
+SCHEMA = "doc_id bigint, text string, lang string, source string"
+
+
+def with_clashes(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({n: F.lit(n) for n in ("id", "x", "fp", "ids", "media", "info", "language", "decoded", "row", "size", "_x", "_id", "key", "root", "src", "n_chars")})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    prepare(spark)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    return [tuple(r) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def edges(spark, docs):
+    prepare(spark)
+    return [*EDGES, *((i + 100, t, g, s) for i, t, g, s in docs[:20])]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    prepare(spark)
+    return spark.createDataFrame([], SCHEMA)
+
+
+def folder(spark, rows, tmp_path_factory, name="documents"):
+    path = str(tmp_path_factory.mktemp("tables"))
+    with_clashes(spark, rows).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def edge_dir(spark, edges, tmp_path_factory):
+    return folder(spark, edges, tmp_path_factory)
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    prepare(spark)
+    return folder(spark, [], tmp_path_factory)
+
+
+@pytest.mark.parametrize("name", ["op2_simhash", "op3_substring", "op4_language", "op5_mix", "op6_mpeg_audio", "op7_sentencepiece"])
+def test_empty_table(spark, empty_dir, name):
+    assert Q.QUERIES[name](spark, empty_dir).collect() == []
+
+
+# --- SimHash
+
+
+def fingerprint(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    count = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            count[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * count[b] > len(shingles))
+
+
+def simhash_brute(rows):
+    fps = [fingerprint(t) for _, t, *_ in rows]
+    distinct = sorted(set(fps))
+    parent = {f: f for f in distinct}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, f in enumerate(distinct):
+        for g in distinct[i + 1 :]:
+            if (f ^ g).bit_count() <= 4:
+                parent[root(g)] = root(f)
+    least = {}
+    for f, (i, *_) in zip(fps, rows, strict=True):
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return Counter((i, f"{f:016x}", least.get(root(f))) for f, (i, *_) in zip(fps, rows, strict=True))
+
+
+def test_simhash_equals_brute_force(spark, docs):
+    assert Counter(tuple(r) for r in Q.op2_simhash(spark, SF).collect()) == simhash_brute(docs)
+
+
+def test_simhash_edges(spark, edge_dir, edges):
+    assert Counter(tuple(r) for r in Q.op2_simhash(spark, edge_dir).collect()) == simhash_brute(edges)
+
+
+def test_golay_code_is_perfect():
+    from millrace.llm.simhash import codewords, decoding
+
+    table = decoding()
+    assert (np.bincount(table) == 2048).all()
+    words = codewords()
+    assert min((int(a) ^ int(words[1])).bit_count() for a in words if a != words[1]) == 7
+
+
+@pytest.mark.parametrize("bits", range(6))
+def test_fingerprints_at_four_bits_share_a_key(bits):
+    from millrace.llm.simhash import fuzzy_keys
+
+    rng, pick = np.random.default_rng(bits), random.Random(bits)
+    a = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    b = a ^ np.array([sum(1 << k for k in pick.sample(range(64), bits)) for _ in a], np.uint64)
+    own, other = (set(zip(*(x.tolist() for x in fuzzy_keys(v)), strict=True)) for v in (a, b))
+    met = {r for r, _ in own & other}
+    assert len(met) == 400 if bits <= 4 else len(met) < 400
+
+
+def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
+    """A group of fingerprints around one, with blocks so small that every key overflows."""
+    from millrace.llm import simhash as S
+    from millrace.llm.components import components
+
+    pick = random.Random(1)
+    fps = {0x0123456789ABCDEF ^ sum(1 << k for k in pick.sample(range(64), n)) for n in (0, 1, 2, 2, 3) for _ in range(40)}
+    values = np.array(sorted(fps), np.uint64)
+
+    def roots(block):
+        monkeypatch.setattr(S, "BLOCK", block)
+        compare = S._compare
+        monkeypatch.setattr(S, "_compare", lambda batches, b=block: (setattr(S, "BLOCK", b), compare(batches))[1])
+        df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+        out = {r.node: r.root for r in components(S.link(df)).collect()}
+        monkeypatch.setattr(S, "_compare", compare)
+        return out
+
+    one = roots(8)
+    assert one == roots(2048) and len(set(one.values())) == 1
+
+
+def test_keep_one_of_each_group(spark, edges):
+    from millrace.llm.simhash import keep_one
+
+    df = with_clashes(spark, edges)
+    kept = keep_one(df).collect()
+    groups = Counter(g for _, _, g in simhash_brute(edges))
+    assert len(kept) == len(groups) and {r.doc_id for r in kept} == set(groups)
+    assert kept[0].__fields__ == df.columns
+
+
+# --- Substring dedup
+
+
+def substring_brute(rows, window=50):
+    first = {}
+    for i, t, *_ in rows:
+        words = WORD.findall(t or "")
+        if i is not None:
+            for k in range(len(words) - window + 1):
+                key = tuple(words[k : k + window])
+                first[key] = min(i, first.get(key, i))
+    out = Counter()
+    for i, t, *_ in rows:
+        words = WORD.findall(t or "")
+        gone = [False] * len(words)
+        for k in range(len(words) - window + 1):
+            if i is not None and first[tuple(words[k : k + window])] < i:
+                gone[k : k + window] = [True] * window
+        kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        out[i, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+def test_substring_equals_brute_force(spark, docs):
+    assert Counter(tuple(r) for r in Q.op3_substring(spark, SF).collect()) == substring_brute(docs)
+
+
+def test_substring_edges(spark, edge_dir, edges):
+    assert Counter(tuple(r) for r in Q.op3_substring(spark, edge_dir).collect()) == substring_brute(edges)
+
+
+@pytest.mark.parametrize("window", [3, 4, 7, 50])
+def test_substring_of_shifted_and_overlapping_passages(spark, window):
+    """Passages of exactly the window, one word less and more, at the ends and inside, twice in one document."""
+    from millrace.llm.substring import dedup
+
+    prepare(spark)
+    pick = random.Random(window)
+    passage = [f"p{k}" for k in range(window + 1)]
+    rows = []
+    for i in range(40):
+        own = [f"d{i}_{k}" for k in range(pick.randint(0, 3 * window))]
+        n = pick.choice([window - 1, window, window + 1])
+        at = pick.randint(0, len(own))
+        body = own[:at] + passage[:n] + own[at:] + (passage[1:] if pick.random() < 0.3 else [])
+        rows.append((i, " ".join(body)))
+    found = dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), window=window)
+    got = Counter((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect())
+    assert got == substring_brute(rows, window)
+    for r in found.filter("n_removed > 0").collect():
+        assert sum(s.stop - s.start for s in r.spans) == r.n_removed and len(r.kept.split()) == r.n_words - r.n_removed
+
+
+# --- Language
+
+
+def test_language_on_held_out_documents(spark):
+    rows = Q.op4_language(spark, f"{DATA}/sf0.01").collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == len(truth) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows) and sum(r.accepted for r in rows) >= 0.99 * len(rows)
+
+
+def test_language_edges(spark, edge_dir, edges):
+    rows = Q.op4_language(spark, edge_dir).collect()
+    assert len(rows) == len(edges)
+    for r in rows:
+        if r.doc_id in (1, 2, 3, 10):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+        else:
+            assert r.lang_pred in {"en", "de", "fr", "es"}
+
+
+def test_language_rejects_what_is_in_no_language(spark):
+    from millrace.llm.langid import learn, predict
+
+    prepare(spark)
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    pick = random.Random(0)
+    noise = " ".join("".join(pick.choice("bcdfghjklmnpqrstvwxzжщюя") for _ in range(7)) for _ in range(300))
+    rows = predict(spark.createDataFrame([(1, noise)], "doc_id bigint, text string"), learn(docs)).collect()
+    assert not rows[0].language.accepted
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    from millrace.llm import langid as L
+
+    model = L.fit({"a": ["abracadabra abba", "cab"], "b": ["bcd dcb bad"]}, 3)
+    context = "ab"
+    total = np.zeros(2)
+    for c in "abcdr ":
+        whole, _ = model.entropies([context + c])
+        part, _ = model.entropies([context])
+        total += np.exp2(-(3 * whole[0] - 2 * part[0]))
+    assert (total < 1.0 + 1e-6).all() and (total > 0.75).all()  # the rest is for symbols never met
+
+
+# --- Mixing
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, free, left = {}, list(order), sum(sizes.values())
+    while free:
+        share = left / sum(weight[s] for s in free)
+        full = [s for s in free if share * weight[s] > most * sizes[s]]
+        for s in full or free:
+            out[s] = most * sizes[s] if full else share * weight[s]
+        if not full:
+            break
+        free = [s for s in free if s not in full]
+        left -= sum(most * sizes[s] for s in full)
+    return out
+
+
+@pytest.mark.parametrize("which", ["plain", "edges"])
+def test_mix(spark, docs, edges, edge_dir, which):
+    rows, path = (docs, SF) if which == "plain" else (edges, edge_dir)
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    wanted = targets(sizes)
+    found = Q.op5_mix(spark, path).collect()
+    taken = Counter()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, *_ in rows)
+    for r in found:
+        assert r.source_size == sizes[r.source] and abs(r.target - wanted[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s, target in wanted.items():
+        assert abs(taken[s] - target) <= 1
+    again = Q.op5_mix(spark, path).collect()
+    assert Counter(map(tuple, found)) == Counter(map(tuple, again))
+
+
+def test_schedule_is_spread_and_blocks_are_equal(spark, docs):
+    from millrace.llm.mixing import mix
+
+    m = mix(spark.createDataFrame(docs, SCHEMA), block=64)
+    plan = m.plan.collect()
+    slots = {r.slot: r.src for r in plan}
+    share = {r.src: r.slots for r in m.sources.collect()}
+    total = sum(share.values())
+    order = sorted(slots)
+    for src, n in share.items():
+        half = sum(slots[s] == src for s in order[: len(order) // 2])
+        assert abs(half - n / 2) <= 4
+    words = Counter()
+    for r in plan:
+        words[r.src, r.block] += r.words
+    for src in share:
+        own = [n for (s, _), n in words.items() if s == src]
+        assert max(own) - min(own) <= 1
+    assert total == len(slots)
+
+
+# --- MPEG audio
+
+
+def payload(text):
+    raw = (text or "").encode()
+    return raw, raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+
+
+@pytest.mark.parametrize("which", ["plain", "edges"])
+def test_mpeg_round_trip(spark, docs, edges, edge_dir, which):
+    rows, path = (docs, SF) if which == "plain" else (edges, edge_dir)
+    found = Counter(tuple(r)[:5] for r in Q.op6_mpeg_audio(spark, path).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        raw, full = payload(t)
+        want[i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])] += 1
+    assert found == want
+
+
+def test_mpeg_equal_texts_equal_values(spark, edge_dir):
+    rows = [tuple(r)[1:] for r in Q.op6_mpeg_audio(spark, edge_dir).collect() if r.doc_id in (6, 7)]
+    assert rows[0] == rows[1]
+
+
+def test_mpeg_resynchronises_and_counts_damage():
+    from millrace.llm import mpeg as M
+
+    media = bytearray(M.pack(b"hello " * 2000))
+    whole = M.parse(bytes(media))
+    assert whole.crc_good == len(whole.offsets) == whole.vbr_frames and whole.resyncs == 0 and len(whole.toc) == 100
+    assert whole.samples == 1152 * len(whole.offsets) and M.unpack(bytes(media)).rstrip() == b"hello " * 1999 + b"hello"
+    at = whole.offsets[3]
+    media[at : at + 2] = b"\0\0"  # a lost header
+    media[whole.offsets[6] + 10] ^= 1  # side information no longer fits its checksum
+    hurt = M.parse(bytes(media))
+    assert hurt.resyncs == 1 and hurt.crc_bad == 1 and len(hurt.offsets) == len(whole.offsets) - 1
+    junk = M.parse(b"\xff\xfb" + bytes(5) + bytes(whole.offsets[0] * [7]) + M.pack(b"x"))
+    assert junk.skipped > 0 and len(junk.offsets) == 1
+    for raw in (b"", b"\xff", b"ID3", b"TAG", random.Random(1).randbytes(5000)):
+        M.parse(raw)
+
+
+def test_mpeg_tags_vbri_and_layer_one():
+    import struct
+
+    from millrace.llm import mpeg as M
+
+    text = b"\x01" + "Zoë".encode("utf-16")
+    frame = b"TIT2" + struct.pack(">I", len(text)) + b"\0\0" + text
+    id3 = b"ID3\x03\0\0" + M._to_syncsafe(len(frame)) + frame
+    head = bytes([0xFF, 0xFB, 0x90, 0xC0])  # 128 kbit/s, 44.1 kHz, one channel
+    size = M.header(head).size
+    assert size == 417
+    vbri = (head + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 3 * size, 2, 2, 1, 2, 1) + struct.pack(">HH", size, size)).ljust(size, b"\0")
+    tag = b"TAG" + b"Zoe".ljust(30, b"\0") + bytes(94) + b"\xff"
+    a = M.parse(id3 + vbri + (head + bytes(size - 4)) * 2 + tag)
+    assert a.tags["TIT2"] == "Zoë" and a.tag_kinds == ["id3v2.3", "id3v1"] and a.vbr == "vbri" and a.vbr_frames == 2 and a.toc == [size, 2 * size]
+    assert len(a.offsets) == 2 and a.rate == 44100 and a.samples == 2304
+    one = bytes([0xFF, 0xFE, 0x14, 0xC0])  # layer I, 32 kbit/s, 48 kHz, one channel, protected
+    body = bytes(16)
+    good = (one + M.crc16(one[2:] + body).to_bytes(2, "big") + body).ljust(M.header(one).size, b"\0")
+    a = M.parse(good * 3)
+    assert (a.layer, a.samples, a.crc_good) == (1, 3 * 384, 3)
+
+
+# --- SentencePiece
+
+
+@pytest.mark.parametrize("which", ["plain", "edges"])
+def test_sentencepiece_equals_the_library(spark, docs, edges, edge_dir, which):
+    import public_tokenizers
+    import sentencepiece
+
+    rows, path = (docs, SF) if which == "plain" else (edges, edge_dir)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(Q.TOKENIZER))
+
+    def want(i, t):
+        ids = sp.encode(t or "")
+        return i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+    assert Counter(tuple(r) for r in Q.op7_sentencepiece(spark, path).collect()) == Counter(want(i, t) for i, t, *_ in rows)
+
+
+def test_chunk_table_on_random_texts(monkeypatch):
+    import public_tokenizers
+    from millrace.llm import pieces as P
+
+    pick = random.Random(2)
+    texts = ["".join(pick.choice(" ▁ab.\n\té😀<s>\x00字") for _ in range(pick.randint(0, 30))) for _ in range(3000)]
+    table = P.ChunkTable(P.load_model(public_tokenizers.path(Q.TOKENIZER)))
+    monkeypatch.setattr(P, "TABLE_ENTRIES", 500)  # the table starts anew again and again
+    for k in range(0, len(texts), 100):
+        ids, starts = table.encode(texts[k : k + 100])
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == table.processor.encode(texts[k : k + 100])
+
+
+def test_models_whose_pieces_cross_markers_are_refused():
+    import public_tokenizers
+    from millrace.llm import pieces as P
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(P.load_model(public_tokenizers.path(Q.TOKENIZER)))
+    m.pieces[500].piece = "a▁b"
+    with pytest.raises(ValueError, match="crosses"):
+        P.check_model(m.SerializeToString())
