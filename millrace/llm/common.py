@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch: whole texts travel, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch: whole texts travel, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship this package to the executors once and keep Arrow batches short."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "false")
     shared_dir(spark)
     if not getattr(sc, "_millrace_shipped", False):
@@ -49,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables, graphs and archives that this package has put into the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
