@@ -197,29 +197,34 @@ class Model:
         return [(self.languages[b], float(s), float(e), bool(a)) for b, s, e, a in zip(best, score, lowest, ok, strict=True)]
 
 
+def _distinct(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of ``order`` symbols: hashes, those of their suffixes by length, of their contexts by length, and counts."""
+    symbols = _symbols("".join(PAD * (order - 1) + t for t in texts if t))
+    symbols = symbols[_squeeze(symbols)]
+    hashes = _raw_hashes(symbols, order)
+    at = np.flatnonzero(symbols != ord(PAD))
+    _, first, counts = np.unique(hashes[order - 1][at], return_index=True, return_counts=True)
+    at = at[first]
+    suffixes = [_mix(hashes[n - 1][at], n) for n in range(1, order)]
+    before = np.maximum(at - 1, 0)
+    contexts = [_mix(hashes[n - 2][before], n - 1) if n > 1 else np.zeros(len(at), np.uint64) for n in range(1, order + 1)]
+    return _mix(hashes[order - 1][at], order), suffixes, contexts, counts
+
+
 def fit(texts: dict[str, list[str]], order: int) -> Model:
     """Kneser-Ney models of texts by language."""
     languages = sorted(texts)
     L = len(languages)
-    found = []
-    for own in texts.values():
-        own[:] = [t for t in own if t]
-    for language in languages:
-        joined = "".join(PAD * (order - 1) + t for t in texts[language])
-        symbols = _symbols(joined)
-        symbols = symbols[_squeeze(symbols)]
-        hashes = _raw_hashes(symbols, order)
-        at = np.flatnonzero(symbols != ord(PAD))
-        _, first, counts = np.unique(hashes[order - 1][at], return_index=True, return_counts=True)
-        found.append((symbols, hashes, at[first], counts))
-    # The n-grams of the highest order in any language, then their suffixes, order by order.
+    # Of each language, only the distinct n-grams of the highest order are kept: key, suffixes, contexts, count.
     grams: list[tuple[Keys, np.ndarray]] = [None] * order
     contexts: list[tuple[Keys, np.ndarray]] = [None] * order
-    key = np.concatenate([_mix(h[order - 1][p], order) for _, h, p, _ in found])
-    suffixes = [np.concatenate([_mix(h[n - 1][p], n) for _, h, p, _ in found]) for n in range(1, order)]
-    ctx = [np.concatenate([_mix(h[n - 2][np.maximum(p - 1, 0)], n - 1) if n > 1 else np.zeros(len(p), np.uint64) for _, h, p, _ in found]) for n in range(1, order + 1)]
-    counts = np.concatenate([c for *_, c in found]).astype(np.float64)
-    column = np.repeat(np.arange(L), [len(c) for *_, c in found])
+    found = [_distinct(texts[language], order) for language in languages]
+    key = np.concatenate([f[0] for f in found])
+    suffixes = [np.concatenate([f[1][n] for f in found]) for n in range(order - 1)]
+    ctx = [np.concatenate([f[2][n] for f in found]) for n in range(order)]
+    counts = np.concatenate([f[3] for f in found]).astype(np.float64)
+    column = np.repeat(np.arange(L), [len(f[3]) for f in found])
+    del found
     levels = []
     for n in range(order, 0, -1):
         keys, index, inverse = np.unique(key, return_index=True, return_inverse=True)
