@@ -9,7 +9,8 @@ and the beam is doubled until the links that a full comparison finds are found t
 blocks of query vectors are files in the folder that all executors share, so that
 a graph is not shuffled for each block that asks it.
 
-Every block of vectors queries every shard. Found neighbours are verified in double
+Every vector queries its own shard and all shards after it, which covers each pair of shards once; links to another shard
+count for both ends. Found neighbours are verified in double
 precision. A search whose whole beam lies over the threshold may have missed some: its beam is
 doubled until one falls below, and then the shard is scanned in full for it. A task
 returns the number of links of each vector, and from the links themselves a spanning
@@ -42,7 +43,7 @@ THRESHOLD = 0.95
 #: Distinct vectors in a shard and in a block, on average.
 SHARD, BLOCK = 16_384, 2_048
 #: Neighbours chosen for a vector, and kept in the lowest layer; beam while building.
-CHOSEN, KEPT, BUILDING = 12, 24, 32
+CHOSEN, KEPT, BUILDING = 16, 32, 32
 FIRST_BEAM, WIDEST, RECALL, AUDITED = 8, 256, 0.99, 256
 _QUERIES = 512
 
@@ -95,7 +96,7 @@ def choose(x: np.ndarray, base: np.ndarray, nodes: np.ndarray, most: int) -> np.
     order = np.argsort(-sims, axis=1, kind="stable")
     nodes, sims = np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
     own = x[np.maximum(nodes, 0)]
-    between = np.einsum("rcd,red->rce", own, own)
+    between = np.matmul(own, own.transpose(0, 2, 1))
     taken = np.zeros(nodes.shape, bool)
     for c in range(nodes.shape[1]):
         near = np.where(taken[:, :c], between[:, c, :c], -np.inf).max(axis=1) if c else np.full(len(nodes), -np.inf)
@@ -311,7 +312,8 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     grouped = rows.filter("key IS NOT NULL").groupBy("dim", "key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
     distinct = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
     n = distinct.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // BLOCK))
+    shards = max(1, -(-n // SHARD))
+    blocks = max(1, -(-n // (shards * BLOCK)))  # of each shard
     folder = fresh_path(spark, "hnsw")
     hashed = F.xxhash64(F.lit(1), "node")
     placed = distinct.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(blocks)).cast("int"))
@@ -326,15 +328,15 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
         return pa.table({"dim": [dim], "shard": [shard], "file": [path], "width": [graph.width], "recall": [recall]}, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("width", pa.int32()), ("recall", pa.float64())]))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids, _, raw = _matrix(table)
-        dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        path = _write(f"{folder}/block-{dim}-{block}", ids=ids, raw=raw)
-        return pa.table({"dim": [dim], "block": [block], "asks": [path]}, pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("asks", pa.string())]))
+        ids, copies, raw = _matrix(table)
+        dim, shard, block = (table[c][0].as_py() for c in ("dim", "shard", "block"))
+        path = _write(f"{folder}/block-{dim}-{shard}-{block}", ids=ids, copies=copies, raw=raw)
+        return pa.table({"dim": [dim], "home": [shard], "block": [block], "asks": [path]}, pa.schema([("dim", pa.int32()), ("home", pa.int32()), ("block", pa.int32()), ("asks", pa.string())]))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ("", None)
         for batch in batches:
-            for file, asks in zip(batch.column("file").to_pylist(), batch.column("asks").to_pylist(), strict=True):
+            for file, asks, own in zip(*(batch.column(c).to_pylist() for c in ("file", "asks", "own")), strict=True):
                 if held[0] != file:
                     data = _load(file)
                     unit = _unit(data["raw"])
@@ -353,16 +355,23 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
                     continue
                 totals = np.bincount(q, copies[to], minlength=len(block["ids"])).astype(np.int64)
                 at = np.flatnonzero(totals)
+                nodes, counts = block["ids"][at], totals[at]
+                if not own:
+                    totals = np.bincount(to, block["copies"][q], minlength=len(ids)).astype(np.int64)
+                    at = np.flatnonzero(totals)
+                    nodes, counts = np.concatenate([nodes, ids[at]]), np.concatenate([counts, totals[at]])
                 a, b = forest(block["ids"][q], ids[to])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([block["ids"][at], a])), pa.array([None] * len(at) + b.tolist(), pa.int64()), pa.array(totals[at].tolist() + [None] * len(a), pa.int64())],
+                    [pa.array(np.concatenate([nodes, a])), pa.array([None] * len(nodes) + b.tolist(), pa.int64()), pa.array(counts.tolist() + [None] * len(a), pa.int64())],
                     names=["node", "other", "links"],
                 )
 
     built = written(placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, file string, width int, recall double"), "shards")
-    packed = written(placed.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, asks string"), "blocks")
-    cells = built.join(packed, "dim").select("file", "asks", (F.col("block") % 8).alias("part"))
-    cells = cells.repartition(max(8, min(4096, shards * min(8, blocks))), "file", "part").sortWithinPartitions("file")
+    packed = written(placed.groupBy("dim", "shard", "block").applyInArrow(pack, "dim int, home int, block int, asks string"), "blocks")
+    cells = built.join(packed, "dim").filter("home <= shard").select("file", "asks", (F.col("home") == F.col("shard")).alias("own"))
+    # A few blocks of one shard to a task: the graph is loaded once for them.
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("asks"), F.lit(max(1, shards * blocks // 4)))).repartition(max(8, min(4096, shards * shards * blocks // 4)), "file", "part")
+    cells = cells.sortWithinPartitions("file")
     found = written(cells.mapInArrow(ask, "node long, other long, links long"), "links")
     counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
