@@ -1,7 +1,7 @@
 """Exact money arithmetic on long integers, and dates.
 
 Amounts with two decimals are held as whole hundredths, so products are exact and stay
-in generated code: price x (1 - discount) has four decimals, times (1 + tax) six. A sum of
+in generated code: price x (1 - discount) has four decimals, times (1 + tax) six. A sum of such
 longs would overflow on tens of billions of rows, so each is kept as two sums, of
 millions and of the rest, and put together once for each group as a decimal.
 """
@@ -50,7 +50,13 @@ def cost_4() -> Column:
 
 
 def total_exact(units: Column, scale: int) -> Column:
-    """The sum of units of 10^-scale as an exact decimal(38, scale); null without rows."""
+    """The sum of units of 10^-scale as an exact decimal(38, scale); null without rows.
+
+    Hundredths are summed plainly: no table reaches 9 x 10^16 units of money. Fewer sums keep the
+    generated code small enough to be compiled.
+    """
+    if scale <= 2:
+        return (F.sum(units).cast("decimal(19,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(f"decimal(38,{scale})")
     whole = F.sum(quotient(units, _PART)).cast("decimal(24,0)") * F.lit(_PART).cast("decimal(7,0)") + F.sum(units % _PART).cast("decimal(20,0)")
     return (whole.cast("decimal(31,0)") * F.lit(f"0.{'0' * (scale - 1)}1").cast(f"decimal({scale},{scale})")).cast(f"decimal(38,{scale})")
 

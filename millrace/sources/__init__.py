@@ -1,6 +1,6 @@
 """Reading the tables and writing results."""
 
 from .results import run_batch, write_csv
-from .tables import TABLES, Tables, load_tables
+from .tables import TABLES, Tables, forget, load_tables
 
-__all__ = ["TABLES", "Tables", "load_tables", "run_batch", "write_csv"]
+__all__ = ["TABLES", "Tables", "forget", "load_tables", "run_batch", "write_csv"]

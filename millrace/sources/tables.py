@@ -131,5 +131,18 @@ class Tables:
 
 
 def load_tables(spark: SparkSession, path: str) -> Tables:
-    """The typed tables below ``path`` (local or any store Spark reads)."""
-    return Tables(spark, path)
+    """The typed tables below ``path`` (local or any store Spark reads).
+
+    A session lists files and reads schemas of a path once; ``forget`` makes it look again.
+    """
+    known = spark.__dict__.setdefault("_millrace_tables", {})
+    if path not in known:
+        known[path] = Tables(spark, path)
+    return known[path]
+
+
+def forget(spark: SparkSession, path: str | None = None) -> None:
+    """Look at the files of ``path`` (or of all paths) anew when they are next asked for."""
+    known = spark.__dict__.get("_millrace_tables", {})
+    for own in [path] if path else list(known):
+        known.pop(own, None)

@@ -42,3 +42,22 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert {f"q{k}" for k in range(1, 23)} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tables_are_listed_once_until_forgotten(spark, tmp_path):
+    from millrace.sources import forget, load_tables
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(0, "A")], "r_regionkey int, r_name string").write.parquet(f"{path}/region.parquet")
+    assert load_tables(spark, path) is load_tables(spark, path) and load_tables(spark, path).region.count() == 1
+    spark.createDataFrame([(1, "B")], "r_regionkey int, r_name string").write.mode("append").parquet(f"{path}/region.parquet")
+    assert load_tables(spark, path).region.count() == 1
+    forget(spark, path)
+    assert load_tables(spark, path).region.count() == 2
+
+
+def test_views(spark):
+    from millrace.sources import load_tables
+
+    load_tables(spark, SF).views()
+    assert spark.sql("SELECT count(*) FROM lineitem JOIN partsupp ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey").first()[0] == spark.table("lineitem").count()

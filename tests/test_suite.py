@@ -186,6 +186,7 @@ def test_totals_do_not_overflow(spark):
     df = spark.range(10).select(F.lit(9_000_000_000_000_000_000).alias("v"))
     assert str(df.agg(total_exact(F.col("v"), 4)).first()[0]) == "9000000000000000.0000"
     assert str(df.agg(total_exact(-F.col("v"), 6)).first()[0]) == "-90000000000000.000000"
+    assert str(df.agg(total_exact(F.lit(-7), 2)).first()[0]) == "-0.70"
 
 
 def test_missing_columns_are_named(spark):
