@@ -8,8 +8,9 @@ between both). Among at most four differing bits, the segments differ either
 
 * in no bit of one segment and at most two of another: keys are the exact
   segment with each codeword of the other, for the six ordered pairs, or
-* in at least one bit each, so in (1, 1), (1, 2) or (2, 1) bits of the first two:
-  keys are the pairs of their codewords.
+* in at least one bit each, so in (1, 1), (1, 2) or (2, 1) bits of the first two, and one or two of the third:
+  keys are the pairs of their codewords, of 24 bits; or with ``wide``, for more than some 10^8 distinct
+  fingerprints, the triples of all three, of 36 bits (some 180 keys a fingerprint instead of 60, and far fewer meetings).
 
 Rows with equal keys are compared, and those at four or fewer bits are linked.
 Fingerprints are made distinct first, so copies meet no one. Rows of one key
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, cut, written
+from .common import apart, cut, sift, written
 from .components import components
 
 MAX_BITS = 4
@@ -80,7 +81,7 @@ def near_codewords(x: np.ndarray, width: int) -> np.ndarray:
     return around[:, -6:].astype(np.int64)
 
 
-def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(fingerprints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of uint64 fingerprints."""
     parts = [((fingerprints >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.uint32) for w, s in SEGMENTS]
     near = [near_codewords(p, w) for p, (w, _) in zip(parts, SEGMENTS, strict=True)]
@@ -93,10 +94,13 @@ def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 r, c = np.nonzero(codes >= 0)
                 rows.append(r)
                 keys.append(np.int64(kind) << 40 | exact[r].astype(np.int64) << 12 | codes[r, c])
-    pairs = near[0][:, :, None] << 12 | near[1][:, None, :]
     r, i, j = np.nonzero((near[0] >= 0)[:, :, None] & (near[1] >= 0)[:, None, :])
+    key = near[0][r, i] << 12 | near[1][r, j]
+    if wide:
+        at, k = np.nonzero(near[2][r] >= 0)
+        r, key = r[at], key[at] << 12 | near[2][r[at], k]
     rows.append(r)
-    keys.append(pairs[r, i, j])
+    keys.append(key)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -129,13 +133,16 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(values.view(np.int64))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for k in range(0, len(fps), 4096):
-            own = fps[k : k + 4096]
-            rows, keys = fuzzy_keys(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], names=["key", "fp"])
+def _keyed(wide: bool):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for k in range(0, len(fps), 4096):
+                own = fps[k : k + 4096]
+                rows, keys = fuzzy_keys(own, wide)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], names=["key", "fp"])
+
+    return keyed
 
 
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +244,9 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(own)
 
 
-def link(distinct: DataFrame) -> DataFrame:
+def link(distinct: DataFrame, wide: bool = False) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) of each group."""
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
+    keyed = distinct.select("fp").mapInArrow(_keyed(wide), "key long, fp long")
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _LINKS))
     links = found.filter("b IS NOT NULL").select("a", "b")
     large = found.filter("b IS NULL").select("key", F.col("a").alias("fp"))
@@ -255,27 +262,28 @@ def link(distinct: DataFrame) -> DataFrame:
     return links.unionByName(more.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, x (a hash of the text), fp (the fingerprint's bits as a long), root (the
     same for all of a group) and component_id, the smallest id of the group."""
     rows = cut(docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("x"), fingerprints(F.col(text)).alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(link(distinct))
+    roots = components(link(distinct, wide))
     of = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = cut(of.groupBy("root").agg(F.min("first").alias("component_id")))
     groups = cut(of.join(least, "root").select("fp", "root", "component_id"))
     return rows.join(groups, "fp").select("id", "x", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text."""
-    rows = cut(near_duplicates(docs, id=id, text=text).select("id", "x", "root"))
+    rows = cut(near_duplicates(docs, id=id, text=text, wide=wide).select("id", "x", "root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "x")
     kept = cut(rows.groupBy("root").agg(F.min(rank).alias("kept")))
     others = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("x") == F.col("kept.x"))))
     i, x = apart(docs, "_id", "_x")
     others = written(others.select(F.col("id").alias(i), F.col("x").alias(x)).distinct(), "others")
-    left = docs.join(others, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(x)), "left_anti")
+    some, rest = sift(docs, F.xxhash64(text), others, F.col(x))  # texts of which no row goes are not shuffled
+    left = rest.unionByName(some.join(others, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(x)), "left_anti"))
     if not rows.groupBy("id", "x").count().filter("count > 1").isEmpty():  # rows that repeat id and text
         left = left.withColumn(x, F.xxhash64(text)).dropDuplicates([id, x]).drop(x)
     return left

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, cut, written
+from .common import apart, cut, sift, written
 
 WINDOW = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -256,7 +256,8 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: in
     of = written(survivors.join(some, "h").groupBy("id").agg(F.collect_set("h").alias("survivors")), "candidates")
     _free(spark)
 
-    near = rows.select("id", "x", _packed("text").alias("text")).join(of, "id")
+    near, _ = sift(rows, F.col("id"), of, F.col("id"))  # documents without candidates are not shuffled
+    near = near.select("id", "x", _packed("text").alias("text")).join(of, "id")
     found = written(near.mapInArrow(_candidates(window), "id long, x long, words binary, windows array<long>"), "windows")
     _free(spark)
     full = found.select("id", F.explode("windows").alias("h")).distinct()
@@ -286,6 +287,7 @@ def drop_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", win
     found = dedup(docs, id=id, text=text, window=window).filter("n_removed > 0")
     found = found.select(F.col("id").alias(i), F.col("x").alias(x), F.col("kept").alias(kept)).dropDuplicates([i, x])
     found = written(found, "changed")
-    rows = docs.join(found, (F.col(id).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left")
+    some, rest = sift(docs, F.xxhash64(text), found, F.col(x))
+    rows = some.join(found, (F.col(id).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left")
     rows = rows.filter(F.col(kept).isNull() | (F.col(kept) != ""))
-    return rows.withColumn(text, F.coalesce(kept, text)).select(*docs.columns)
+    return rest.unionByName(rows.withColumn(text, F.coalesce(kept, text)).select(*docs.columns))

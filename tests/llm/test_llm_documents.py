@@ -127,14 +127,15 @@ def test_golay_code_is_perfect():
     assert min((int(a) ^ int(words[1])).bit_count() for a in words if a != words[1]) == 7
 
 
+@pytest.mark.parametrize("wide", [False, True])
 @pytest.mark.parametrize("bits", range(6))
-def test_fingerprints_at_four_bits_share_a_key(bits):
+def test_fingerprints_at_four_bits_share_a_key(bits, wide):
     from millrace.llm.simhash import fuzzy_keys
 
     rng, pick = np.random.default_rng(bits), random.Random(bits)
     a = rng.integers(0, 2**64, 400, dtype=np.uint64)
     b = a ^ np.array([sum(1 << k for k in pick.sample(range(64), bits)) for _ in a], np.uint64)
-    own, other = (set(zip(*(x.tolist() for x in fuzzy_keys(v)), strict=True)) for v in (a, b))
+    own, other = (set(zip(*(x.tolist() for x in fuzzy_keys(v, wide)), strict=True)) for v in (a, b))
     met = {r for r, _ in own & other}
     assert len(met) == 400 if bits <= 4 else len(met) < 400
 
