@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, prepare, read
+from .oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -119,4 +120,3 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_substring, op4_language, op5_mix, op6_mpeg_audio, op7_sentencepiece, op8_warc, op9_hnsw, op10_html)}
-ORACLE_SQL: dict[str, str] = {}
