@@ -11,10 +11,11 @@ DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from millrace.session import session
 
-    s = session("local[4]", app="tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    home = str(tmp_path_factory.mktemp("warehouse"))
+    s = session("local[4]", app="tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__sql__warehouse__dir=home)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
