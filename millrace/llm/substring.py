@@ -43,7 +43,7 @@ from .common import apart, cut, sift, written
 WINDOW = 50
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WORDS = 500_000
+_WORDS = 250_000
 
 
 def levels(window: int) -> list[int]:
