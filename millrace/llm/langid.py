@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 UNDETERMINED = "und"
 PAD = "\x01"
 #: Characters scored at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS = [pow(_MULTIPLIER, k, 1 << 64) for k in range(16)]
 
@@ -77,16 +77,16 @@ def _mix(h: np.ndarray, order: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def _raw_hashes(symbols: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n from 1 to ``order``: hashes of the n symbols that end at each position."""
+def _raw_hashes(symbols: np.ndarray, order: int, last: bool = False) -> list[np.ndarray]:
+    """For n from 1 to ``order`` (or the last only): hashes of the n symbols that end at each position."""
     a = symbols.astype(np.uint64)
     out = [a]
     with np.errstate(over="ignore"):
         for n in range(1, order):
-            h = out[-1].copy()
+            h = out[-1].copy() if n == 1 or not last else out.pop()
             h[n:] += a[:-n] * np.uint64(_POWERS[n])
             out.append(h)
-    return out
+    return out[-1:] if last else out
 
 
 class Keys:
@@ -200,15 +200,19 @@ class Model:
 def _distinct(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Distinct n-grams of ``order`` symbols: hashes, those of their suffixes by length, of their contexts by length, and counts."""
     symbols = _symbols("".join(PAD * (order - 1) + t for t in texts if t))
-    symbols = symbols[_squeeze(symbols)]
-    hashes = _raw_hashes(symbols, order)
-    at = np.flatnonzero(symbols != ord(PAD))
-    _, first, counts = np.unique(hashes[order - 1][at], return_index=True, return_counts=True)
+    symbols = symbols[_squeeze(symbols)].astype(np.uint64)
+    at = np.flatnonzero(symbols != ord(PAD))  # pads stand in front of each text, so none is near the start
+    _, first, counts = np.unique(_raw_hashes(symbols, order, last=True)[0][at], return_index=True, return_counts=True)
     at = at[first]
-    suffixes = [_mix(hashes[n - 1][at], n) for n in range(1, order)]
-    before = np.maximum(at - 1, 0)
-    contexts = [_mix(hashes[n - 2][before], n - 1) if n > 1 else np.zeros(len(at), np.uint64) for n in range(1, order + 1)]
-    return _mix(hashes[order - 1][at], order), suffixes, contexts, counts
+    suffixes, contexts = [symbols[at]], [np.zeros(len(at), np.uint64)]
+    with np.errstate(over="ignore"):
+        for n in range(1, order):
+            older = symbols[at - n]
+            suffixes.append(suffixes[-1] + older * np.uint64(_POWERS[n]))
+            contexts.append(contexts[-1] + older * np.uint64(_POWERS[n - 1]))
+    suffixes = [_mix(h, n) for n, h in enumerate(suffixes, 1)]
+    contexts = [_mix(h, n) if n else h for n, h in enumerate(contexts)]
+    return suffixes.pop(), suffixes, contexts, counts
 
 
 def fit(texts: dict[str, list[str]], order: int) -> Model:
