@@ -50,44 +50,56 @@ _QUERIES = 512
 
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes (-1: none) and their cosines, (queries, width), of a best-first search from ``entry`` (queries, k)."""
-    n, q = len(x), len(queries)
-    seen = np.zeros((q, n), bool)
-    nodes, sims = np.full((q, width), -1, np.int64), np.full((q, width), -np.inf, np.float32)
-    done = np.ones((q, width), bool)
+    n, q, slots = len(x), len(queries), edges.shape[1]
+    seen = np.zeros(q * n, bool)
+    out_nodes, out_sims = np.empty((q, width), np.int32), np.empty((q, width), np.float32)
+    # The beam and, behind it, room for one node's neighbours; distances are cosines with their sign changed.
+    nodes, far, done = np.full((q, width + slots), -1, np.int32), np.full((q, width + slots), np.inf, np.float32), np.ones((q, width + slots), bool)
     entry = entry[:, :width]
     k = entry.shape[1]
-    nodes[:, :k] = entry
     ok = entry >= 0
-    sims[:, :k] = np.where(ok, np.einsum("qkd,qd->qk", x[np.maximum(entry, 0)], queries), -np.inf)
+    nodes[:, :k] = entry
+    far[:, :k] = np.where(ok, -np.einsum("qkd,qd->qk", x[np.maximum(entry, 0)], queries), np.inf)
     done[:, :k] = ~ok
     r, c = np.nonzero(ok)
-    seen[r, entry[r, c]] = True
-    live = np.arange(q)
+    seen[r * n + entry[r, c]] = True
+    row, all_ = np.arange(q), np.arange(q)
     while True:
-        open_ = np.where(done[live], -np.inf, sims[live])
-        best = open_.argmax(axis=1)
-        more = open_[np.arange(len(live)), best] > -np.inf
-        live, best = live[more], best[more]
-        if not len(live):
-            return nodes, sims
-        done[live, best] = True
-        around = edges[nodes[live, best]]
-        fresh = (around >= 0) & ~seen[live[:, None], around]
+        open_ = np.where(done[:, :width], np.inf, far[:, :width])
+        best = open_.argmin(axis=1)
+        ended = open_[all_, best] == np.inf
+        if ended.any():
+            out_nodes[row[ended]], out_sims[row[ended]] = nodes[ended, :width], -far[ended, :width]
+            live = ~ended
+            nodes, far, done, queries, row, best = nodes[live], far[live], done[live], queries[live], row[live], best[live]
+            all_ = all_[: len(row)]
+            if not len(row):
+                return out_nodes, out_sims
+        done[all_, best] = True
+        around = edges[nodes[all_, best]]
+        flat = around + (row * n)[:, None]
+        fresh = ~seen[flat]
+        fresh &= around >= 0
         r, c = np.nonzero(fresh)
-        to = around[r, c]
-        seen[live[r], to] = True
-        found = np.full(around.shape, -np.inf, np.float32)
-        found[r, c] = np.einsum("id,id->i", x[to], queries[live[r]])
-        better = found > sims[live].min(axis=1)[:, None]
-        grow = better.any(axis=1)
-        if not grow.any():
+        seen[flat[r, c]] = True
+        found = -np.einsum("id,id->i", x[around[r, c]], queries[r])
+        nearer = found < far[:, :width].max(axis=1)[r]
+        r, c, found = r[nearer], c[nearer], found[nearer]
+        if not len(r):
             continue
-        own = live[grow]
-        all_sims = np.concatenate([sims[own], found[grow]], axis=1)
-        top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-        nodes[own] = np.take_along_axis(np.concatenate([nodes[own], around[grow]], axis=1), top, 1)
-        done[own] = np.take_along_axis(np.concatenate([done[own], ~fresh[grow]], axis=1), top, 1)
-        sims[own] = np.take_along_axis(all_sims, top, 1)
+        grow = np.unique(r)
+        at = np.empty(len(row), np.int64)
+        at[grow] = np.arange(len(grow))
+        own_far, own_nodes, own_done = far[grow], nodes[grow], done[grow]
+        own_far[:, width:] = np.inf
+        own_far[at[r], width + c] = found
+        own_nodes[:, width:] = around[grow]
+        own_done[:, width:] = False
+        top = np.argpartition(own_far, width - 1, axis=1)[:, :width]
+        rows = np.arange(len(grow))[:, None]
+        kept = own_far[rows, top]
+        far[grow, :width], nodes[grow, :width] = kept, own_nodes[rows, top]
+        done[grow, :width] = own_done[rows, top] | (kept == np.inf)
 
 
 def choose(x: np.ndarray, base: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
@@ -98,11 +110,14 @@ def choose(x: np.ndarray, base: np.ndarray, nodes: np.ndarray, most: int) -> np.
     own = x[np.maximum(nodes, 0)]
     between = np.matmul(own, own.transpose(0, 2, 1))
     taken = np.zeros(nodes.shape, bool)
+    near, count = np.full(nodes.shape, -np.inf, np.float32), np.zeros(len(nodes), np.int64)
     for c in range(nodes.shape[1]):
-        near = np.where(taken[:, :c], between[:, c, :c], -np.inf).max(axis=1) if c else np.full(len(nodes), -np.inf)
-        taken[:, c] = (nodes[:, c] >= 0) & (near < sims[:, c]) & (taken.sum(axis=1) < most)
+        pick = np.flatnonzero((nodes[:, c] >= 0) & (near[:, c] < sims[:, c]) & (count < most))
+        taken[pick, c] = True
+        count[pick] += 1
+        near[pick, c + 1 :] = np.maximum(near[pick, c + 1 :], between[pick, c, c + 1 :])
     rest = (nodes >= 0) & ~taken
-    taken |= rest & (np.cumsum(rest, axis=1) <= (most - taken.sum(axis=1))[:, None])
+    taken |= rest & (np.cumsum(rest, axis=1) <= (most - count)[:, None])
     out = np.full((len(nodes), most), -1, np.int64)
     r, c = np.nonzero(taken)
     out[r, (np.cumsum(taken, axis=1) - 1)[r, c]] = nodes[r, c]
@@ -117,7 +132,7 @@ class Graph:
         n = len(x)
         levels = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(CHOSEN)).astype(np.int64)
         top = int(levels.max(initial=0))
-        self.layers = [np.full((n, KEPT if k == 0 else CHOSEN), -1, np.int64) for k in range(top + 1)]
+        self.layers = [np.full((n, KEPT if k == 0 else CHOSEN), -1, np.int32) for k in range(top + 1)]
         self.entry, self.width, self.full = 0, FIRST_BEAM, False
         highest, start, size = int(levels[0]) if n else 0, 0, 32
         while start < n:
