@@ -307,10 +307,11 @@ def learn(
         return None
     wanted = fit_rows + calibrate_rows
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 11) / float(1 << 53)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(2.0, (1.2 * wanted + 20) / n)))])
-    sample = rows.filter(u < F.element_at(share, F.col(lang))).filter(F.col(text).isNotNull())
+    most = int(1.2 * wanted + 20)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(0.5, n / most)))])
+    sample = rows.select(F.col(lang), (u * F.element_at(share, F.col(lang))).alias("u"), F.col(text)).filter(F.col("u") < 1).filter(F.col(text).isNotNull())
     chosen: dict[str, list[tuple[float, str]]] = {}
-    for r in sample.select(F.col(lang), u, F.col(text)).collect():
+    for r in sample.orderBy("u").limit(2 * most * len(counts)).collect():  # the limit matters only if very many rows have one id
         chosen.setdefault(r[0], []).append((r[1], r[2]))
     train, held = {}, {}
     for language, own in chosen.items():

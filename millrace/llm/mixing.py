@@ -19,8 +19,8 @@
 Every source so takes exactly its rounded target. Everything is DataFrame code.
 
 Null texts and texts without words have size 0 and are never taken. Null sources
-form one source, ordered last. Equal ids are ordered by size, then and rows that
-tie in both are interchangeable. An empty table gives an
+form one source, ordered last. Rows of equal ids are ordered by size, and
+those that tie in both are interchangeable. An empty table gives an
 empty plan. Columns of the input other than the three named are not read.
 """
 
