@@ -88,7 +88,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     links: list[str] = []
     open_: list[tuple[str, int]] = []  # containers: name, and 1 for content, -1 for boilerplate, 0
-    linked, start, heading, item, last = 0, 0, False, False, 0
+    linked, start, heading, item, hinted, last = 0, 0, False, False, False, 0
 
     def flush() -> None:
         nonlocal text, links
@@ -98,6 +98,8 @@ def blocks(page: str) -> list[Block]:
                 words = own.count(" ") + 1
                 kinds = [k for _, k in open_ if k]
                 density = min(1.0, len(html.unescape("".join(links)).split()) / words) if links else 0.0
+                if hinted:
+                    kinds.append(-1)
                 out.append(Block(own, start, words, density, 1 in kinds, -1 in kinds, kinds[-1] if kinds else 0, heading, item))
             text, links = [], []
 
@@ -123,6 +125,7 @@ def blocks(page: str) -> list[Block]:
             add(" ", m.start())
         elif name in _BLOCK:
             flush()
+            hinted = not closing and name not in _OPEN and bool(m["attributes"]) and _hinted(m["attributes"])
             if name in _HEADING:
                 heading = not closing
             elif name == "li":

@@ -219,6 +219,7 @@ HTML_CASES = [
     ("<article><p title=\"a > b\">x</p><form><p>Name</p><select><option>one</select></form></article>", "x"),
     ("<article><p>x</p></article><div class='comments'><p>I think so too, and so do all of my friends.</p></div>", "x"),
     ("<ARTICLE><P>loud</P></ARTICLE><style>p{}", "loud"), ("<article><p>cut off in a <b", "cut off in a <b"), ("<article><p>x</p><script>never closed <p>no</p>", "x"),
+    ("<article><p>x</p><p class='advert'>Buy it all today</p><p id=intro>y</p><h2 class='share-title'>Tell others</h2>z</article>", "x\n\ny\n\nz"),
     ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
 ]
 
