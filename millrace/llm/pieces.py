@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_ENTRIES = 800_000
+TABLE_ENTRIES = 300_000
 TABLE_CHARS = 32_000_000
 
 
