@@ -145,10 +145,9 @@ def _keyed(wide: bool):
     return keyed
 
 
-def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of uint64 fingerprints, at most one less than there are."""
-    m = len(fps)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MAX_BITS
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of a symmetric matrix of who is near whom, at most one less than there are rows."""
+    m = len(near)
     label = np.arange(m)
     while True:
         lower = np.where(near, label[None, :], m).min(axis=1)
@@ -157,7 +156,13 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = lower
     at = np.flatnonzero(label != np.arange(m))
-    return fps[at], fps[label[at]]
+    return at, label[at]
+
+
+def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of uint64 fingerprints, at most one less than there are."""
+    at, to = spanning(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MAX_BITS)
+    return fps[at], fps[to]
 
 
 _LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -276,7 +281,11 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text."""
-    rows = cut(near_duplicates(docs, id=id, text=text, wide=wide).select("id", "x", "root"))
+    return keep_least(docs, cut(near_duplicates(docs, id=id, text=text, wide=wide).select("id", "x", "root")), id=id, text=text)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
+    """``keep_one`` of groups that are known. ``rows``: id, x (the hash of the text) and root of each row of ``docs``."""
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "x")
     kept = cut(rows.groupBy("root").agg(F.min(rank).alias("kept")))
     others = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("x") == F.col("kept.x"))))

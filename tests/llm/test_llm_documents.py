@@ -436,3 +436,61 @@ def test_models_whose_pieces_cross_markers_are_refused():
     m.pieces[500].piece = "a▁b"
     with pytest.raises(ValueError, match="crosses"):
         P.check_model(m.SerializeToString())
+
+
+# --- Near copies in the pipeline
+
+
+def jaccard_groups(rows):
+    """Ids that stay when one document stays of each group of five-word shingles with Jaccard >= 0.8."""
+    sets = []
+    for i, t in rows:
+        own = (t or "").encode().lower().split()
+        sets.append((i, {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))}))
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    return {root(i) for i in parent}
+
+
+def near_copies():
+    """Texts of 80 to 200 words with near copies of many similarities around 0.8, in pairs and in a group of 60."""
+    pick = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = [(1, None), (2, ""), (3, "One two"), (4, "one  TWO"), (5, "one two three")]
+
+    def edited(words, n):
+        words = list(words)
+        for k in pick.sample(range(len(words)), n):
+            words[k] = pick.choice(vocabulary) + "x"
+        return " ".join(words)
+
+    for _ in range(40):
+        words = pick.choices(vocabulary, k=pick.randrange(80, 200))
+        rows += [(len(rows) + 1, " ".join(words)), (len(rows) + 2, edited(words, pick.randrange(1, 8)))]
+    words = pick.choices(vocabulary, k=120)
+    return rows + [(len(rows) + k, edited(words, pick.randrange(1, 4))) for k in range(1, 61)]
+
+
+@pytest.mark.parametrize("short,block", [(16, 1024), (4, 8), (100, 1024)])
+def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, short, block):
+    import corpus_pipeline as P
+    from millrace.llm import jaccard as J
+
+    monkeypatch.setattr(J, "BLOCK", block)
+    meet = J._meet
+    monkeypatch.setattr(J, "_meet", lambda batches: (setattr(J, "SHORT", short), meet(batches))[1])
+    rows = near_copies()
+    kept = P.simhash(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    want = jaccard_groups(rows)
+    assert 40 < len(want) < 100
+    assert sorted(r.doc_id for r in kept) == sorted(want)
