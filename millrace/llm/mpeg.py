@@ -7,7 +7,7 @@ data is ancillary data. A frame carries 192, 384, 576 or 768 payload bytes, the
 format's unit here being 192 bytes; its bitrate tells which.
 
 ``parse`` reads any MPEG-1/2/2.5 stream, layers I to III: it skips and parses
-tags (ID3v2 with text frames, ID3v1, APEv2), resynchronises on frame headers
+tags (ID3v2 with text frames, ID3v1, APEv2; the last two not where a frame ends with the stream), resynchronises on frame headers
 after damage, reads Xing/Info and VBRI headers, verifies checksums (layers I and
 III; layer II protects a span that depends on its allocation tables and is
 counted as not verified), and returns exact durations (samples over sample rate)
@@ -264,10 +264,20 @@ def _sum(covered: bytes) -> int:
 
 def parse(data: bytes) -> Audio:
     """Read a stream. Never raises on damaged bytes; counts what it had to skip."""
+    if data[-128:-125] == b"TAG" or data[-32:-24] == b"APETAGEX":
+        whole = _parse(data, False)
+        last = whole.offsets[-1] if whole.offsets else len(data)
+        inside = 128 if data[-128:-125] == b"TAG" else 32
+        if last < len(data) - inside and last + header(data[last : last + 4]).size == len(data):
+            return whole  # a frame ends where the stream does: what looks like a tag lies in it
+    return _parse(data, True)
+
+
+def _parse(data: bytes, trailing: bool) -> Audio:
     audio, at = Audio(), 0
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         at = _id3v2(data, at, audio)
-    end = _trailing_tags(data, len(data), audio)
+    end = _trailing_tags(data, len(data), audio) if trailing else len(data)
     kind, first, lost = None, True, False
     while at + 4 <= end:
         h = header(data[at : at + 4])

@@ -494,3 +494,16 @@ def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, shor
     want = jaccard_groups(rows)
     assert 40 < len(want) < 100
     assert sorted(r.doc_id for r in kept) == sorted(want)
+
+
+@pytest.mark.parametrize("at,size", [(89, 190), (329, 380), (521, 570)])
+def test_mpeg_payload_that_looks_like_a_trailing_tag(at, size):
+    from millrace.llm import mpeg as M
+
+    raw = (b"A" * at + b"TAG").ljust(size, b"C")
+    for lead in (b"", b"x" * 768):
+        found = M.describe(M.pack(lead + raw))
+        assert (found["n_bytes"], found["resyncs"], found["tags"]) == (len(lead + raw), 0, "id3v2.4")
+        assert found["payload_sha256"] == hashlib.sha256(M.padded(lead + raw)).hexdigest()
+    tagged = M.parse(M.pack(raw) + b"TAG" + b"title".ljust(125, b"\0"))
+    assert tagged.tag_kinds == ["id3v2.4", "id3v1"] and tagged.tags["title"] == "title" and tagged.resyncs == 0
