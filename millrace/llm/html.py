@@ -8,8 +8,9 @@ of class and id mark as menus, headers, footers, sidebars, notices, adverts, for
 comments. A decision tree (Gini, grown here) trained on the small labelled table
 ``LABELLED`` keeps or drops each block.
 
-Null pages count as empty and give an empty text. Unclosed scripts, styles and comments
-reach to the end of the page. White space includes the no-break space. Nothing is cut.
+Null pages count as empty and give an empty text. Scripts, styles, titles, text areas, frames (iframe) and comments
+are left out, to the end of the page where they are not closed. Pictures, players, buttons, selections, templates and what else is in
+``_HIDDEN`` are left out where they are closed; one that is not, or that ends in ``/>``, hides nothing. Formulas (math) are text. White space includes the no-break space. Nothing is cut.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_HIDDEN = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|canvas|audio|video"
+_RAW = "script|style|title|textarea|iframe"  # their content is no markup
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_HIDDEN})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*+>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*+>|\Z)"""
     rf"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>{_ATTRIBUTES})>|<[!?][^>]*+>|</[^>]*+>""",
     re.DOTALL | re.IGNORECASE,
 )
 # Elements of HTML.
+_HIDDEN = frozenset("noscript template svg object select button canvas audio video".split())
+_NESTING = frozenset("noscript template svg object".split())  # the others end where the next of their name begins
 _BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section summary table tbody td"
@@ -82,6 +85,39 @@ def _hinted(attributes: str, first: bool = False) -> bool:
     return False
 
 
+def _hidden_spans(tags: list[re.Match]) -> dict[int, int]:
+    """Start of each closed hidden element that lies in no other, and its end. One still open where
+    a container around it is closed, or another of its name begins (unless they nest), is not closed."""
+    spans: dict[int, int] = {}
+    if not any((m["name"] or "").lower() in _HIDDEN for m in tags):
+        return spans
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+
+    def pop() -> tuple[str, int]:
+        name, start = stack.pop()
+        open_[name] -= 1
+        return name, start
+
+    for m in tags:
+        name = (m["name"] or "").lower()
+        if name not in _HIDDEN and name not in _OPEN:
+            continue
+        if m["close"]:
+            if open_.get(name):
+                while (found := pop())[0] != name:
+                    pass
+                if name in _HIDDEN:
+                    spans[found[1]] = m.end()
+        elif not (name == "svg" and m["attributes"].endswith("/")):
+            if name in _HIDDEN and name not in _NESTING and open_.get(name):
+                while pop()[0] != name:
+                    pass
+            stack.append((name, m.start()))
+            open_[name] = open_.get(name, 0) + 1
+    return spans
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
@@ -111,10 +147,14 @@ def blocks(page: str) -> list[Block]:
         if linked:
             links.append(piece)
 
-    for m in _TOKEN.finditer(page):
+    tags = list(_TOKEN.finditer(page))
+    spans = _hidden_spans(tags)
+    for m in tags:
+        if m.start() < last:  # in a hidden element
+            continue
         if m.start() > last:
             add(page[last : m.start()], last)
-        last = m.end()
+        last = spans.get(m.start(), m.end())
         name = m["name"]
         if name is None:
             continue

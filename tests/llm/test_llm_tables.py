@@ -420,3 +420,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path_factory):
             assert Counter((r.doc_id, tuple(r.ids)) for r in after) == want
     assert P.run(spark, SF).count() == kept[-1]
     assert shared_dir(spark)
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg><text>no</text></svg><p>c</p></article>", "a\n\nb\n\nc"),
+    ("<article><p>a <math><mi>x</mi></math> b</p><math/><p>c</p></article>", "a x b\n\nc"),
+    ("<article><p>a</p><object/><p>b</p><canvas/><p>c</p></article>", "a\n\nb\n\nc"),
+    ("<article><p>a</p><video src=v><p>b</p></article><footer><video>no</video></footer>", "a\n\nb"),
+    ("<article><p>a</p><div><select></div><p>b</p><select><option>no</select></article>", "a\n\nb"),
+    ("<article><p>a</p><div><button></div><p>b</p><p>c <button>no</button> d</p></article>", "a\n\nb\n\nc d"),
+    ("<article><p>a</p><object>no <object>no</object> no</object><noscript><p>no</p></noscript><p>b</p></article>", "a\n\nb"),
+    ("<article><p>a</p><template><div><p>no</p></div></template><p>b</p><button>", "a\n\nb"),
+])
+def test_html_hidden_elements_hide_no_more_than_themselves(page, text):
+    from millrace.llm.html import main_text
+
+    assert main_text(page) == text
