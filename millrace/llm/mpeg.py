@@ -1,20 +1,22 @@
 """MPEG audio as a media column.
 
-``pack`` carries any bytes losslessly in a legal stream: an ID3v2 tag, a Xing
+``pack`` carries any bytes losslessly in a legal stream: an ID3v2 tag with their number and checksum, a Xing
 header frame with its seek table, and MPEG-1 layer III frames (48 kHz, one
 channel, checksummed) whose granules are silent, so that all of a frame's main
 data is ancillary data. A frame carries 192, 384, 576 or 768 payload bytes, the
 format's unit here being 192 bytes; its bitrate tells which.
 
 ``parse`` reads any MPEG-1/2/2.5 stream, layers I to III: it skips and parses
-tags (ID3v2 with text frames, ID3v1, APEv2; the last two not where a frame ends with the stream), resynchronises on frame headers
-after damage, reads Xing/Info and VBRI headers, verifies checksums (layers I and
+tags (ID3v2 with text frames in front; ID3v1 and APEv2 only behind the last frame, so that no frame's bytes are taken
+for a tag), resynchronises on frame headers after damage, reads Xing/Info and VBRI headers, verifies checksums (layers I and
 III; layer II protects a span that depends on its allocation tables and is
 counted as not verified), and returns exact durations (samples over sample rate)
 and the byte offset of every frame, for seeking.
 
-``unpack`` gives the carried bytes back. Null texts count as empty. Bytes that
-are no MPEG audio parse to zero frames; free-format frames are not accepted.
+``unpack`` gives the carried bytes back. Null and empty texts carry one unit of spaces; very long ones have as many
+frames as they need, in one value. Repeated rows and equal texts have equal values; an empty table gives no rows. Bytes that
+are no MPEG audio parse to zero frames; free-format frames are not accepted. The columns ``media`` and ``info`` are
+replaced where the input has them, all others are kept.
 """
 
 from __future__ import annotations
@@ -193,20 +195,23 @@ def _id3v2(data: bytes, at: int, audio: Audio) -> int:
     return end + (10 if flags & 0x10 and major == 4 else 0)
 
 
-def _trailing_tags(data: bytes, end: int, audio: Audio) -> int:
-    """Where the audio ends, before ID3v1 and APEv2 tags."""
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+def _trailing_tags(data: bytes, start: int, audio: Audio) -> int:
+    """Where the tags (APEv2, ID3v1) that the stream ends with begin; nothing before ``start`` is taken for one."""
+    end = len(data)
+    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         audio.tag_kinds.append("id3v1")
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             text = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
             if text:
                 audio.tags.setdefault(name, text)
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
-        start = end - size
+        first = end - size
+        if size < 32 or first - (32 if flags & 0x80000000 else 0) < start:
+            return end
         audio.tag_kinds.append("apev2")
-        pos = max(0, start)
+        pos = first
         for _ in range(count):
             if pos + 8 > end - 32:
                 break
@@ -217,7 +222,7 @@ def _trailing_tags(data: bytes, end: int, audio: Audio) -> int:
             key = data[pos + 8 : stop].decode("latin-1")
             audio.tags.setdefault(key, data[stop + 1 : stop + 1 + length].decode("utf-8", "replace"))
             pos = stop + 1 + length
-        end = max(0, start - (32 if flags & 0x80000000 else 0))
+        end = first - (32 if flags & 0x80000000 else 0)
     return end
 
 
@@ -239,16 +244,18 @@ def _vbr_header(data: bytes, at: int, h: Header, audio: Audio) -> bool:
                 audio.toc = list(data[pos : pos + 100])
             return True
     x = at + 36
-    if data[x : x + 4] == b"VBRI":
+    if data[x : x + 4] == b"VBRI" and x + 26 <= at + h.size:  # one that its frame cuts off is none
         audio.vbr = "vbri"
         audio.vbr_bytes, audio.vbr_frames, entries, scale, width, _ = struct.unpack(">IIHHHH", data[x + 10 : x + 26])
         total = 0
-        for k in range(entries):
+        for k in range(min(entries, (at + h.size - x - 26) // width if width else 0)):
             audio.toc.append(total := total + scale * int.from_bytes(data[x + 26 + k * width : x + 26 + (k + 1) * width], "big"))
         return True
     return False
 
 
+#: What a tag behind the frames begins with.
+_TAGS = (b"TAG", b"APE")
 _SUMS: dict[bytes, int] = {}
 
 
@@ -263,42 +270,35 @@ def _sum(covered: bytes) -> int:
 
 
 def parse(data: bytes) -> Audio:
-    """Read a stream. Never raises on damaged bytes; counts what it had to skip."""
-    if data[-128:-125] == b"TAG" or data[-32:-24] == b"APETAGEX":
-        whole = _parse(data, False)
-        last = whole.offsets[-1] if whole.offsets else len(data)
-        inside = 128 if data[-128:-125] == b"TAG" else 32
-        if last < len(data) - inside and last + header(data[last : last + 4]).size == len(data):
-            return whole  # a frame ends where the stream does: what looks like a tag lies in it
-    return _parse(data, True)
-
-
-def _parse(data: bytes, trailing: bool) -> Audio:
-    audio, at = Audio(), 0
-    while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
+    """Read a stream: tags in front, frames, and only behind the last frame tags again, so that no frame is taken
+    for a tag. Never raises on damaged bytes; counts what it had to skip."""
+    audio, at, end = Audio(), 0, len(data)
+    while data[at : at + 3] == b"ID3" and end >= at + 10:
         at = _id3v2(data, at, audio)
-    end = _trailing_tags(data, len(data), audio) if trailing else len(data)
     kind, first, lost = None, True, False
+    skipped: list[int] = []  # resynchronisations: where each began
+    resumed = min(at, end)  # where the last frame ended
     while at + 4 <= end:
         h = header(data[at : at + 4])
         good = h is not None and at + h.size <= end and (kind is None or h.kind() == kind)
         if good and (kind is None or lost) and at + h.size < end:  # a lone header proves little
             after = header(data[at + h.size : at + h.size + 4])
-            good = after is not None and after.kind() == h.kind()
+            good = data[at + h.size : at + h.size + 3] in _TAGS or after is not None and after.kind() == h.kind()
         if not good:
             nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
-            audio.skipped += nxt - at
             if not lost:
-                audio.resyncs += 1
-            lost, at = True, nxt
+                skipped.append(at)
+            lost, at = True, end if nxt < 0 else nxt
             continue
-        lost = False
+        if lost:
+            audio.skipped += at - skipped[-1]
+            lost = False
         if kind is None:
             kind = h.kind()
             audio.version, audio.layer, audio.rate, audio.channels = h.version, h.layer, h.rate, h.channels
         if first and _vbr_header(data, at, h, audio):
             first, at = False, at + h.size
+            resumed = at
             continue
         first = False
         if h.protected:
@@ -312,8 +312,13 @@ def _parse(data: bytes, trailing: bool) -> Audio:
         audio.offsets.append(at)
         audio.samples += h.samples
         at += h.size
-    if at < end:
-        audio.skipped += end - at
+        resumed = at
+    audio.resyncs = len(skipped)
+    if resumed < end:  # what is behind the last frame: tags, and what is none was skipped
+        rest = _trailing_tags(data, resumed, audio) - resumed
+        audio.skipped += rest
+        if lost and not rest:
+            audio.resyncs -= 1
     return audio
 
 
@@ -337,6 +342,11 @@ def padded(raw: bytes) -> bytes:
     return raw + b" " * ((-len(raw)) % UNIT or (0 if raw else UNIT))
 
 
+def _text_frame(name: str, value: str) -> bytes:
+    text = f"\x03{name}\0{value}".encode()
+    return b"TXXX" + _to_syncsafe(len(text)) + b"\0\0" + text
+
+
 def pack(raw: bytes) -> bytes:
     """A stream that carries the padded bytes; equal bytes give equal streams."""
     payload = padded(raw)
@@ -353,9 +363,8 @@ def pack(raw: bytes) -> bytes:
     starts = np.minimum(np.arange(100) * count // 100, full) * _SIZE[4] + _SIZE[4]
     toc = (starts * 256 // total).astype(np.uint8).tobytes()
     xing = (_head(4, False) + _SIDE + b"Xing" + struct.pack(">III", 7, count, total) + toc).ljust(_SIZE[4], b"\0")
-    text = b"\x03payload-bytes\0" + str(len(raw)).encode()
-    frame = b"TXXX" + _to_syncsafe(len(text)) + b"\0\0" + text
-    return b"ID3\x04\0\0" + _to_syncsafe(len(frame)) + frame + xing + body
+    notes = b"".join(_text_frame(k, v) for k, v in (("payload-bytes", str(len(raw))), ("payload-crc32", f"{zlib.crc32(payload):08x}")))
+    return b"ID3\x04\0\0" + _to_syncsafe(len(notes)) + notes + xing + body
 
 
 def unpack(media: bytes, audio: Audio | None = None) -> bytes:
@@ -385,12 +394,25 @@ _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "bo
 MEDIA = pa.struct([(k, _ARROW[v]) for k, v in _FIELDS.items()])
 
 
-def describe(media: bytes | None) -> dict:
-    """What the media column stores about a stream; the payload is read back from it."""
+def carried(media: bytes, a: Audio) -> tuple[int, bytes] | None:
+    """How many bytes a stream made by ``pack`` carries, and the padded bytes; None if it is another, or damaged."""
+    n = a.tags.get("payload-bytes", "")
+    if not (n.isascii() and n.isdigit()) or a.crc_bad or a.resyncs or any(header(media[at : at + 4]).size not in _UNITS for at in a.offsets):
+        return None
+    payload = unpack(media, a)
+    whole = len(payload) == -(-max(int(n), 1) // UNIT) * UNIT and f"{zlib.crc32(payload):08x}" == a.tags.get("payload-crc32")
+    return (int(n), payload) if whole else None
+
+
+def describe(media: bytes | None, strict: bool = False) -> dict:
+    """What the media column stores about a stream; the payload is read back from it. One that carries none (any other
+    audio, or damaged) has null ``n_bytes`` and an empty payload; ``strict`` raises instead."""
     media = media or b""
     a = parse(media)
-    ours = "payload-bytes" in a.tags and a.crc_bad == 0 and a.resyncs == 0
-    payload = unpack(media, a) if ours else b""
+    found = carried(media, a)
+    if found is None and strict:
+        raise ValueError(f"a stream of {len(media)} bytes does not give back what it should carry")
+    n_bytes, payload = found or (None, b"")
     agrees = not a.vbr or a.vbr_frames == len(a.offsets)
     seconds = a.samples / a.rate if a.rate else 0.0
     feature = (
@@ -398,17 +420,20 @@ def describe(media: bytes | None) -> dict:
         f"crc={a.crc_good}/{a.crc_good + a.crc_bad + a.crc_unknown} resyncs={a.resyncs} vbr={a.vbr or '-'}{'' if agrees else '!'} tags={'+'.join(a.tag_kinds) or '-'}"
     )
     return {
-        "n_bytes": int(a.tags["payload-bytes"]) if ours else None, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-TAIL:]), "frames": len(a.offsets), "samples": a.samples, "rate": a.rate, "duration_s": seconds,
         "crc_good": a.crc_good, "crc_bad": a.crc_bad, "resyncs": a.resyncs, "tags": "+".join(a.tag_kinds), "vbr": a.vbr,
         "vbr_agrees": agrees, "seek": a.offsets, "feature": feature,
     }
 
 
-@F.arrow_udf(T.StructType([T.StructField(k, _SPARK[v]) for k, v in _FIELDS.items()]))
-def describe_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([describe(x) for x in batch.to_pylist()], MEDIA)
+def _describer(strict: bool):
+    @F.arrow_udf(T.StructType([T.StructField(k, _SPARK[v]) for k, v in _FIELDS.items()]))
+    def describe_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([describe(x, strict) for x in batch.to_pylist()], MEDIA)
+
+    return describe_media
 
 
 def store(df: DataFrame, text: str | Column = "text", media: str = "media") -> DataFrame:
@@ -416,6 +441,7 @@ def store(df: DataFrame, text: str | Column = "text", media: str = "media") -> D
     return df.withColumn(media, pack_texts(text))
 
 
-def index(df: DataFrame, media: str | Column = "media", info: str = "info") -> DataFrame:
-    """Add the struct of what is read back from the media column. A column of that name is replaced."""
-    return df.withColumn(info, describe_media(media))
+def index(df: DataFrame, media: str | Column = "media", info: str = "info", *, strict: bool = False) -> DataFrame:
+    """Add the struct of what is read back from the media column. A column of that name is replaced. ``strict``: the
+    column was made by ``store``, and a stream that does not read back as such ends the job."""
+    return df.withColumn(info, _describer(strict)(media))

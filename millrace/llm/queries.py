@@ -72,7 +72,7 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mpeg import index, store
 
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
-    rows = index(store(docs)).withColumn("media_bytes", F.length("media").cast("long"))
+    rows = index(store(docs), strict=True).withColumn("media_bytes", F.length("media").cast("long"))
     return rows.select(
         "doc_id", "info.n_bytes", "info.payload_bytes", "info.payload_sha256", "info.tail_crc32", "media_bytes",
         F.sha2("media", 256).alias("media_sha256"), "info.feature", "info.duration_s", F.size("info.seek").alias("n_frames"),

@@ -1,5 +1,7 @@
 """Properties that hold for any input."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -128,3 +130,51 @@ def test_sift_keeps_every_key(spark, share):
     some, rest = (set(r.id for r in part.collect()) for part in sift(df, F.col("id"), keys, F.col("k")))
     assert not some & rest and some | rest == set(range(5000))
     assert {r.k for r in keys.collect()} <= some and len(some) <= 5000 // share + 20 if share else not some
+
+
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX", b"ID3\x04\0\0\0\0\0\x05", b"VBRI", b"Xing", b"\xff\xfb\x90\xc0", b"APETAGEX\xd0\x07\0\0\xff\xff\0\0"])
+def test_mpeg_payload_may_look_like_any_mark_anywhere(mark):
+    """A mark at every offset of texts whose last frame has one to four units, and of those that end close behind it."""
+    for at in range(1600):
+        for size in {at + len(mark), at + len(mark) + 101, 1600}:
+            raw = (b"A" * at + mark).ljust(size, b"C")
+            found = M.describe(M.pack(raw), strict=True)
+            assert (found["n_bytes"], found["payload_bytes"], found["tags"], found["resyncs"]) == (len(raw), len(M.padded(raw)), "id3v2.4", 0)
+            assert found["payload_sha256"] == hashlib.sha256(M.padded(raw)).hexdigest()
+
+
+def test_mpeg_of_headers_that_are_cut_off_or_foreign():
+    head = bytes([0xFF, 0xFB, 0x10, 0xC0])  # 32 kbit/s: a frame of 104 bytes, which a VBRI header fits barely
+    size = M.header(head).size
+    for cut in (36, 48, 61, size):
+        M.parse((head + bytes(32) + b"VBRI" + b"\xff" * 200)[:cut])
+    small = bytes([0xFF, 0xF3, 0x14, 0xC0])  # 8 kbit/s at 24 kHz: the frame is 24 bytes, the header would lie behind it
+    assert M.header(small).size == 24
+    M.parse(small + bytes(32) + b"VBRI" + bytes(8))
+    text = b"\x03payload-bytes\0" + b"7"
+    tag = b"TXXX" + M._to_syncsafe(len(text)) + b"\0\0" + text
+    foreign = b"ID3\x04\0\0" + M._to_syncsafe(len(tag)) + tag + (head + bytes(size - 4)) * 3
+    assert M.describe(foreign)["n_bytes"] is None and M.describe(foreign)["frames"] == 3
+    media = M.pack(b"x" * 5000)
+    for broken in (media[:-700], media[:2000] + b"\0\0" + media[2002:]):
+        assert M.describe(broken)["n_bytes"] is None
+        with pytest.raises(ValueError, match="give back"):
+            M.describe(broken, strict=True)
+
+
+@given(st.binary(max_size=900), st.sampled_from([b"", b"TAG", b"APETAGEX", b"VBRI", b"ID3\x04"]), st.integers(0, 899))
+@settings(max_examples=150, deadline=None)
+def test_mpeg_parser_counts_every_byte_once(raw, mark, at):
+    raw = raw[:at] + mark + raw[at:]
+    a = M.parse(raw)
+    assert 0 <= a.skipped <= len(raw) and a.resyncs >= 0
+
+
+def test_mpeg_index_has_exact_durations_and_seek_offsets():
+    for n in (0, 1, 192, 193, 768, 769, 5000):
+        media = M.pack(b"y" * n)
+        found = M.describe(media)
+        frames = -(-len(M.padded(b"y" * n)) // 768)
+        assert found["frames"] == frames and found["samples"] == 1152 * frames and found["duration_s"] == 1152 * frames / 48000
+        for at, nxt in zip(found["seek"], [*found["seek"][1:], len(media)], strict=True):
+            assert media[at] == 0xFF and M.header(media[at : at + 4]).size == nxt - at
