@@ -12,13 +12,14 @@ a graph is not shuffled for each block that asks it.
 Every vector queries its own shard and all shards after it, which covers each pair of shards once; links to another shard
 count for both ends. Found neighbours are verified in double
 precision. A search whose whole beam lies over the threshold may have missed some: its beam is
-doubled until one falls below, and then the shard is scanned in full for it. A task
-returns the number of links of each vector, and from the links themselves a spanning
-forest; components join those.
+doubled until one falls below, and then the shard is scanned in full for it. Found pairs are
+counted and joined a stripe of queries at a time and then forgotten, however many there are. A task
+returns the number of links of each vector and, for each group, links that join it; components join those.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do
 vectors of different length. Rows that repeat an id are one vector each, and link if their
-components do. An empty table gives no rows.
+components do; ties have no order that matters. A null id is a component's id only if it has no other. An empty table gives no rows. Only the
+two columns named are read, so others may have any names; there are no texts.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ SHARD, BLOCK = 16_384, 2_048
 #: Neighbours chosen for a vector, and kept in the lowest layer; beam while building.
 CHOSEN, KEPT, BUILDING = 16, 32, 32
 FIRST_BEAM, WIDEST, RECALL, AUDITED = 8, 256, 0.99, 256
-_QUERIES = 512
+#: Queries searched at a time, and compared with a whole shard at a time.
+_QUERIES, _STRIPE = 512, 128
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +222,10 @@ class Graph:
             self.width *= 2
 
 
-def links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least the threshold; ``unit`` and ``queries`` are double."""
+def links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs with a cosine of at least the threshold, in stripes of bounded size: a group in which all
+    are near all never has its pairs in one place. ``unit`` and ``queries`` are double."""
     n = len(unit)
-    out_q, out_n = [], []
     for k in range(0, len(queries), _QUERIES):
         own = queries[k : k + _QUERIES]
         left, width = np.arange(len(own)), min(graph.width, n)
@@ -233,38 +235,60 @@ def links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float)
             r, c = np.nonzero((nodes >= 0) & (sims >= threshold - 1e-4) & ~full[:, None])
             to = nodes[r, c]
             good = np.einsum("id,id->i", unit[to], own[left[r]]) >= threshold
-            out_q.append(k + left[r[good]])
-            out_n.append(to[good])
+            yield k + left[r[good]], to[good].astype(np.int64)
             left = left[full]
             width *= 2
             if width > WIDEST:
                 break
-        for s in range(0, len(left), 128):
-            r, to = np.nonzero(own[left[s : s + 128]] @ unit.T >= threshold)
-            out_q.append(k + left[s + r])
-            out_n.append(to)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_q]), np.concatenate([none, *out_n])
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (of ids) that join what the links a-b join, less than one for each id."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[u], label[v])
-        after = label.copy()
-        np.minimum.at(after, u, low)
-        np.minimum.at(after, v, low)
-        np.minimum.at(after, label[u], low)
-        np.minimum.at(after, label[v], low)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[moved], ids[label[moved]]
+        for s in range(0, len(left), _STRIPE):
+            r, to = np.nonzero(own[left[s : s + _STRIPE]] @ unit.T >= threshold)
+            yield k + left[s + r], to
+
+
+class Forest:
+    """Groups of the numbers 0 to n - 1 that links join, a stripe of links at a time; ``label`` is the least of each group."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        label = self.label
+        u, v = label[u], label[v]
+        while (apart := u != v).any():
+            u, v = u[apart], v[apart]
+            np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+            while ((after := label[label]) != label).any():
+                label = after
+            u, v = label[u], label[v]
+        self.label = label
+
+
+def _answer(graph: Graph, unit: np.ndarray, ids: np.ndarray, copies: np.ndarray, block: dict[str, np.ndarray], own: bool, threshold: float) -> pa.RecordBatch:
+    """Rows (node, other, links) of a block that asks a shard (``own``: its own one): links of each node, and links that join each group."""
+    m, n = len(block["ids"]), len(ids)
+    asked, answered, groups = np.zeros(m, np.int64), np.zeros(n, np.int64), Forest(m + n)
+    if own:  # a vector of the block is in the shard too
+        order = np.argsort(ids)
+        groups.join(np.arange(m), m + order[np.searchsorted(ids, block["ids"], sorter=order)])
+    for q, to in links(graph, unit, _unit(block["raw"]), threshold):
+        if own:
+            other = block["ids"][q] != ids[to]
+            q, to = q[other], to[other]
+        asked += np.bincount(q, copies[to], minlength=m).astype(np.int64)
+        if not own:
+            answered += np.bincount(to, block["copies"][q], minlength=n).astype(np.int64)
+        groups.join(q, m + to)
+    every, counts = np.concatenate([block["ids"], ids]), np.concatenate([asked, answered])
+    at = np.flatnonzero(counts)
+    a, b = every, every[groups.label]
+    joined = np.flatnonzero(a != b)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([every[at], a[joined]])), pa.array(np.concatenate([np.zeros(len(at), np.int64), b[joined]]), mask=np.arange(len(at) + len(joined)) < len(at)),
+            pa.array(np.concatenate([counts[at], np.zeros(len(joined), np.int64)]), mask=np.arange(len(at) + len(joined)) >= len(at)),
+        ],
+        names=["node", "other", "links"],
+    )
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -363,23 +387,7 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
                     held = file, (data["ids"], data["copies"], unit, graph)
                 ids, copies, unit, graph = held[1]
                 block = _load(asks)
-                q, to = links(graph, unit, _unit(block["raw"]), threshold)
-                other = block["ids"][q] != ids[to]
-                q, to = q[other], to[other]
-                if not len(q):
-                    continue
-                totals = np.bincount(q, copies[to], minlength=len(block["ids"])).astype(np.int64)
-                at = np.flatnonzero(totals)
-                nodes, counts = block["ids"][at], totals[at]
-                if not own:
-                    totals = np.bincount(to, block["copies"][q], minlength=len(ids)).astype(np.int64)
-                    at = np.flatnonzero(totals)
-                    nodes, counts = np.concatenate([nodes, ids[at]]), np.concatenate([counts, totals[at]])
-                a, b = forest(block["ids"][q], ids[to])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([nodes, a])), pa.array([None] * len(nodes) + b.tolist(), pa.int64()), pa.array(counts.tolist() + [None] * len(a), pa.int64())],
-                    names=["node", "other", "links"],
-                )
+                yield _answer(graph, unit, ids, copies, block, own, threshold)
 
     built = written(placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, file string, width int, recall double"), "shards")
     packed = written(placed.groupBy("dim", "shard", "block").applyInArrow(pack, "dim int, home int, block int, asks string"), "blocks")

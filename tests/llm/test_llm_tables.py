@@ -490,11 +490,65 @@ def test_graph_recall_and_dense_groups():
     unit = H._unit(x[rng.permutation(len(x))])
     graph = H.Graph(unit.astype(np.float32))
     assert graph.audit(0.95) >= 0.99 or graph.full
-    q, to = H.links(graph, unit, unit[:300], 0.95)
+    q, to = (np.concatenate(x) for x in zip(*H.links(graph, unit, unit[:300], 0.95), strict=True))
     truth = unit[:300] @ unit.T >= 0.95
     assert truth[q, to].all() and len(q) == len(set(zip(q.tolist(), to.tolist(), strict=True))) >= 0.99 * truth.sum()
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_answers_equal_brute_force(own):
+    from millrace.llm import hnsw as H
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((200, 16)), rng.standard_normal(16) + 0.05 * rng.standard_normal((150, 16)), rng.standard_normal(16) + 0.05 * rng.standard_normal((150, 16))])
+    unit = H._unit(x[rng.permutation(len(x))])
+    ids, copies = rng.permutation(1000)[: len(unit)], rng.integers(1, 4, len(unit))
+    at = np.arange(0, 200) if own else np.arange(300, 500)
+    shard = np.arange(0, 300)
+    graph = H.Graph(unit[shard].astype(np.float32))
+    graph.full = True
+    block = {"ids": ids[at], "copies": copies[at], "raw": unit[at]}
+    rows = H._answer(graph, unit[shard], ids[shard], copies[shard], block, own, 0.95).to_pylist()
+    near = unit[at] @ unit[shard].T >= 0.95
+    want = Counter()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        if ids[at[i]] != ids[shard[j]]:
+            want[int(ids[at[i]])] += int(copies[shard[j]])
+            if not own:
+                want[int(ids[shard[j]])] += int(copies[at[i]])
+    assert {r["node"]: r["links"] for r in rows if r["other"] is None} == dict(want)
+    groups = H.Forest(1000)
+    groups.join(*(np.array([r[c] for r in rows if r["other"] is not None]) for c in ("node", "other")))
+    truth = H.Forest(1000)
+    truth.join(ids[at[np.nonzero(near)[0]]], ids[shard[np.nonzero(near)[1]]])
+    assert (groups.label == truth.label).all()
+
+
+def test_a_dense_shard_takes_little_memory():
+    """16,384 vectors that are all near each other, and a block of 2,048 of them: 33 million pairs."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, resource
+from millrace.llm import hnsw as H
+rng = np.random.default_rng(0)
+unit = H._unit(rng.standard_normal(64) + 0.01 * rng.standard_normal((16384, 64)))
+graph = H.Graph.__new__(H.Graph)
+graph.x, graph.full, graph.width, graph.layers = unit.astype(np.float32), True, 8, []
+ids, ones = np.arange(len(unit)), np.ones(len(unit), np.int64)
+for own, names in ((True, ids[:2048]), (False, 100000 + ids[:2048])):
+    rows = H._answer(graph, unit, ids, ones, {"ids": names, "copies": ones[:2048], "raw": unit[:2048]}, own, 0.95)
+    links = rows.column(2).drop_null().to_numpy()
+    assert links.max() == (16383 if own else 16384) and links.sum() == 2048 * (16383 if own else 2 * 16384)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": root})
+    assert int(done.stdout) < 1000
+
+
 def test_components(spark):
     from millrace.llm.components import components
 
