@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +21,9 @@ ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors once and keep Arrow batches short."""
+    """Ship this package to the executors once and keep Arrow batches short.
+
+    The three Arrow settings stay as set here, as queries run after this returns."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
@@ -25,7 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not getattr(sc, "_millrace_shipped", False):
         package = os.path.dirname(os.path.dirname(os.path.realpath(__file__)))
         root = os.path.dirname(package)
-        target = os.path.join(os.path.realpath(tempfile.mkdtemp()), "millrace_code.zip")
+        target = os.path.join(_own_folder(), "millrace_code.zip")  # the driver serves it to the executors
         with zipfile.ZipFile(target, "w") as z:
             for folder, _, names in os.walk(package):
                 for name in names:
@@ -37,28 +44,79 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _own_folder() -> str:
+    """A temporary folder of this process, deleted when it ends."""
+    found = os.path.realpath(tempfile.mkdtemp(prefix="millrace-"))
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+class NoSharedFolder(RuntimeError):
+    """On a cluster, neither spark.checkpoint.dir nor a checkpoint folder is set."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where none is."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given. Where neither is
+    set, a local master gets a temporary folder, and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = getattr(sc, "_millrace_shared", None)
         if not found:
-            found = "file:" + os.path.realpath(tempfile.mkdtemp(prefix="millrace-"))
-            sc.setCheckpointDir(found)
+            given = sc._jsc.sc().getCheckpointDir()
+            if given.isDefined():
+                found = given.get()
+            elif sc.master.startswith("local"):
+                found = "file:" + _own_folder()
+                sc.setCheckpointDir(found)
+            else:
+                raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
             sc._millrace_shared = found
     return found.rstrip("/")
 
 
+def _made(spark: SparkSession) -> list[str]:
+    """Paths that this package has put into the shared folder and not deleted."""
+    return spark.sparkContext.__dict__.setdefault("_millrace_made", [])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    sc = spark.sparkContext
+    for own in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables, graphs and archives that this package has put into the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables, graphs, archives and checkpoints that this package has put into the shared folder. Frames
+    made before cannot be read any more."""
+    made = _made(spark)
+    _delete(spark, made)
+    made.clear()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one path made by ``fresh_path``."""
+    _made(spark).remove(path)
+    _delete(spark, [path])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is put into the shared folder inside is deleted at the end; results must be written elsewhere by then."""
+    made = _made(spark)
+    before = len(made)
+    try:
+        yield
+    finally:
+        own, made[before:] = made[before:], []
+        _delete(spark, own)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -70,8 +128,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made(spark).append(file.get())
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,8 +20,11 @@ Every source so takes exactly its rounded target. Everything is DataFrame code.
 
 Null texts and texts without words have size 0 and are never taken. Null sources
 form one source, ordered last. Rows of equal ids are ordered by size, and
-those that tie in both are interchangeable. An empty table gives an
-empty plan. Columns of the input other than the three named are not read.
+those that tie in both are interchangeable. Very long texts may fill several blocks. An empty table gives an
+empty plan. Columns of the input other than the three named are not read, and may have any names.
+
+Sources are taken to be few next to documents: targets and the intervals of the schedule come from windows over one row for
+each source, in one task.
 """
 
 from __future__ import annotations
@@ -151,11 +154,34 @@ def mix(
 
 
 def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes (part of) them. Rows that repeat id and text are taken alike."""
+    """The rows of ``docs`` as often as the mix takes (part of) them. Rows that repeat id, text and source share what is taken of them,
+    each as often as any other or once more; which ones it is is undefined, as is what tells them apart. Rows without words are not taken."""
     m = mix(docs, id=id, source=source, size=word_count(F.col(text)), mark=F.xxhash64(text), **options)
     copies = m.plan.select("row", "epoch").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    taken = m.sized.select("row", "id", "mark").join(copies, "row").groupBy("id", "mark").agg(F.max("n").alias("_n"))
-    i, mark, n, k = apart(docs, "_id", "_mark", "_n", "_k")
-    taken = written(taken.select(F.col("id").alias(i), F.col("mark").alias(mark), F.col("_n").alias(n)), "copies")
-    rows = docs.join(taken, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(mark)))
-    return rows.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    same = m.sized.select("row", "id", "mark", "src").join(copies, "row", "left").groupBy("id", "mark", "src")
+    taken = same.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).filter("n > 0").join(m.sources.select("src", "source"), "src")
+    i, mark, src, n, r, k = apart(docs, "_id", "_mark", "_src", "_n", "_r", "_k")
+    taken = written(taken.select(F.col("id").alias(i), F.col("mark").alias(mark), F.col("source").alias(src), F.col("n").alias(n), F.col("rows").alias(r)), "copies")
+    found = docs.join(taken, F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(mark)) & F.col(source).eqNullSafe(F.col(src)))
+    if taken.filter(F.col(r) > 1).isEmpty():
+        times = found
+    else:
+        times = found.filter(F.col(r) == 1).unionByName(_shared_out(found.filter(F.col(r) > 1), i, mark, src, n, r))
+    return times.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+
+
+def _shared_out(rows: DataFrame, i: str, mark: str, src: str, n: str, r: str) -> DataFrame:
+    """Rows that repeat others, with ``n`` (of all of them) dealt out to each. They are numbered within buckets, so that
+    rows of which very many are alike do not meet in one task."""
+    row, bucket, rank, before = apart(rows, "_row", "_bucket", "_rank", "_before")
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "repeats")
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(BUCKET)))
+    key = [i, mark, src]
+    sums = rows.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias(before))
+    ahead = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(sums.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0))))
+    inside = F.row_number().over(Window.partitionBy(*key, bucket).orderBy(row)) - 1
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, bucket)]
+    both = rows.withColumn(rank, inside).alias("l").join(sums.alias("r"), on).select("l.*", F.col(f"r.{before}"))
+    share = F.call_function("div", F.col(n), F.col(r)) + F.when(F.col(before) + F.col(rank) < F.col(n) % F.col(r), 1).otherwise(0)
+    return both.withColumn(n, share).filter(F.col(n) > 0).drop(row, bucket, rank, before)

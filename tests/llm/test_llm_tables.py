@@ -578,7 +578,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path_factory):
     import corpus_pipeline as P
     import public_tokenizers
     import sentencepiece
-    from test_llm_documents import WORD, simhash_brute, substring_brute, targets
+    from test_llm_documents import WORD, jaccard_groups, substring_brute, targets
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
@@ -597,7 +597,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path_factory):
         if name == "language_id":
             assert len(after) >= 0.99 * len(before)
         elif name == "simhash":
-            assert sorted(r.doc_id for r in after) == sorted({g for *_, g in simhash_brute(before)})
+            assert sorted(r.doc_id for r in after) == sorted(jaccard_groups([b[:2] for b in before]))
         elif name == "substring":
             want = {i: (n, gone, sha) for i, n, gone, sha in substring_brute(before)}
             texts = {i: t for i, t, *_ in before}
@@ -619,7 +619,101 @@ def test_pipeline_stage_by_stage(spark, tmp_path_factory):
             want = Counter((i, tuple(sp.encode(t))) for i, t, *_ in before)
             assert Counter((r.doc_id, tuple(r.ids)) for r in after) == want
     assert P.run(spark, SF).count() == kept[-1]
-    assert shared_dir(spark)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path_factory):
+    """Nulls, empty and very long texts, repeated rows, ties, names that clash, no n_chars; and tables of nothing."""
+    import corpus_pipeline as P
+    from millrace.llm.common import _made
+    from pyspark.sql import functions as F
+    from test_llm_documents import EDGES, SCHEMA, with_clashes
+
+    plain = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    plain = [(i + 1000, t, g, s) for i, t, g, s in plain]
+    rows = [*EDGES, *plain, plain[3], (plain[4][0], plain[5][1], None, None), (None, plain[6][1] + " once more", None, "a"), (None, None, None, None)]
+    clashes = ("_language", "_id", "_x", "_n", "_k", "_r", "_mark", "_row", "_kept", "_src", "language", "ids", "sha", "row", "src", "size")
+    odd = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(n) for n in clashes})
+    for df, some in ((odd, True), (odd.limit(0), False), (odd.filter("doc_id in (1, 2, 3)"), False), (with_clashes(spark, rows), True)):
+        docs = df
+        for name, stage in P.STAGES:
+            path = fresh_path(spark, name)
+            stage(spark, docs, "").write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+            if name != "sentencepiece":
+                assert docs.columns == df.columns
+                if "_language" in docs.columns:
+                    assert docs.filter("_language != '_language' OR _n != '_n'").isEmpty()
+            if name == "language_id":
+                assert docs.filter("text IS NULL OR text = ''").isEmpty()
+                gone = Counter(r.doc_id for r in before.collect()) - Counter(r.doc_id for r in docs.collect())
+                assert not some or all(i is None or i < 1000 for i in gone)
+            elif name == "simhash":
+                assert docs.count() == docs.select("doc_id", "text").distinct().count()
+        assert docs.isEmpty() != some
+    path = str(tmp_path_factory.mktemp("tables"))
+    odd.write.parquet(f"{path}/documents.parquet")
+    made = list(_made(spark))
+    P.run(spark, path)
+    assert len(set(_made(spark)) - set(made)) == 1  # the last stage's rows
+
+
+def test_mix_of_rows_that_repeat_others_takes_the_target(spark):
+    from millrace.llm.mixing import mixed
+
+    prepare(spark)
+    words = " ".join(f"w{k}" for k in range(100))
+    rows = [(k, f"{words} {k}", "a") for k in range(100)] + [(7, words, "b")] * 80 + [(None, words, "c")] * 30 + [(8, words, "d"), (8, words, "e")]
+    for block in (512, 4096):
+        found = mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(5, 2, 1, 1, 1), block=block).collect()
+        taken = Counter()
+        for r in found:
+            taken[r.source] += len(r.text.split())
+        from test_llm_documents import targets
+
+        sizes = Counter()
+        for _, t, s in rows:
+            sizes[s] += len(t.split())
+        for s, target in targets(sizes, (5, 2, 1, 1, 1)).items():
+            assert target - 1 <= taken[s] <= target + 300
+
+
+def test_release_and_scratch_delete_what_was_made(spark):
+    import os
+
+    from millrace.llm.common import _made, cut, release, scratch, written
+
+    prepare(spark)
+
+    def there(path):
+        return os.path.exists("/" + path.removeprefix("file:").lstrip("/"))
+
+    kept = written(spark.range(5).toDF("id"), "kept")
+    path = _made(spark)[-1]
+    with scratch(spark):
+        cut(spark.range(10).toDF("id"))
+        written(spark.range(3).toDF("id"), "t")
+        inside = _made(spark)[-2:]
+        assert all(map(there, inside))
+    assert not any(map(there, inside)) and there(path) and kept.count() == 5
+    release(spark)
+    assert not there(path) and not _made(spark)
+
+
+def test_the_shared_folder_is_the_one_set_and_needs_one_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace.llm import common as C
+
+    def fake(conf, given, master):
+        option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)), master=master, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf), sparkContext=sc)
+
+    assert C.shared_dir(fake("hdfs:/x/", None, "yarn")) == "hdfs:/x"
+    assert C.shared_dir(fake(None, "hdfs:/given/1", "yarn")) == "hdfs:/given/1"
+    assert C.shared_dir(fake(None, None, "local[2]")).startswith("file:")
+    with pytest.raises(C.NoSharedFolder):
+        C.shared_dir(fake(None, None, "spark://host:7077"))
 
 
 @pytest.mark.parametrize("page,text", [
