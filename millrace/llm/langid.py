@@ -1,22 +1,27 @@
 """Language identification by character language models.
 
 One interpolated Kneser-Ney model per language over runs of lower-cased letters
-(anything else counts as one space). All languages share, for each order, one
+(anything else counts as one space). Up to ``GROUP`` languages share, for each order, one
 sorted array of n-gram hashes with a row of log probabilities (a column per
 language), and one sorted array of context hashes with interpolation weights for
-n-grams met in no language. A text goes to the language with the lowest
+n-grams met in no language of the group; so tables grow with the n-grams that there are, not with their product
+with the languages. A language's probabilities do not depend on its group. A text goes to the language with the lowest
 cross-entropy in bits a character; ``score`` is the softmax of the
 length-normalised entropies at a temperature fitted on calibration texts, and a
 text is rejected if its entropy lies far above what calibration texts of its
-language have (with an allowance for short texts), or if it has no letter.
+language have (with an allowance for short texts), or if it has no letter. A language with fewer than ``FEW`` calibration
+texts of its own has the limit of all languages' calibration texts together; only where those are fewer too is nothing rejected.
 
 The models are fitted on the driver, on a sample of at most ``fit_rows`` and
-``calibrate_rows`` whole texts for each language: those with the smallest hashes of
-id. The bounds are parameters. Every text is scored, and scored whole.
+``calibrate_rows`` whole texts for each language (those with the smallest hashes of
+id and text) and of at most ``sample_bytes`` over all languages, which share them equally. The bounds are parameters. A text that would take over
+a quarter of its language's bytes is only sampled if the shorter ones leave room; if no text of a language fits its bytes,
+the first of them is, up to as many characters. That is for fitting alone: every text is scored, and scored whole.
 
 Null texts and texts without letters get ``und``, score 0 and are rejected, as is
 everything if there is nothing to learn from. Rows whose language is null are
-never learned from. Ties in entropy go to the smaller language value.
+never learned from; rows that repeat id and text are learned from once, and each is scored. Ties in entropy go to the smaller language value. Null ids
+are ids like others. An empty table gives no rows. The output column is replaced where the input has it; all others are kept.
 """
 
 from __future__ import annotations
@@ -26,14 +31,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 UNDETERMINED = "und"
 PAD = "\x01"
 #: Characters scored at a time.
 PIECE = 1 << 18
+#: Languages that share tables; calibration texts that a limit of a language's own takes.
+GROUP, FEW = 8, 5
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS = [pow(_MULTIPLIER, k, 1 << 64) for k in range(16)]
 
@@ -77,6 +86,16 @@ def _mix(h: np.ndarray, order: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+class _Mixed:
+    """Hashes that are mixed when they are taken."""
+
+    def __init__(self, raw: np.ndarray, order: int):
+        self.raw, self.order = raw, order
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return _mix(self.raw[at], self.order)
+
+
 def _raw_hashes(symbols: np.ndarray, order: int, last: bool = False) -> list[np.ndarray]:
     """For n from 1 to ``order`` (or the last only): hashes of the n symbols that end at each position."""
     a = symbols.astype(np.uint64)
@@ -115,12 +134,44 @@ class Keys:
         return out
 
 
+@dataclass
+class Part:
+    """The tables of some languages, from column ``start`` on."""
+
+    start: int
+    grams: list[tuple[Keys, np.ndarray]]  #: for n = 1..order: hashes, log2 probability by language
+    contexts: list[tuple[Keys, np.ndarray]]  #: for n = 1..order: hashes of n - 1 symbols, log2 weight by language
+
+    def add(self, hashes: list[np.ndarray], at: np.ndarray, owner: np.ndarray, size: int, floor: float) -> np.ndarray:
+        """Log probabilities of the symbols at ``at``, summed by owner and language."""
+        total = np.zeros((size, self.grams[0][1].shape[1]))
+        live = np.arange(len(at))
+        for n in range(len(self.grams), 0, -1):
+            keys, values = self.grams[n - 1]
+            rows = keys.find(hashes[n - 1][at[live]])
+            hit = rows >= 0
+            _sum(total, owner[live[hit]], values, rows[hit])
+            live = live[~hit]
+            if not len(live):
+                break
+            keys, values = self.contexts[n - 1]
+            rows = keys.find(hashes[n - 2][at[live] - 1] if n > 1 else np.zeros(len(live), np.uint64))
+            hit = rows >= 0
+            _sum(total, owner[live[hit]], values, rows[hit])
+        return total + np.bincount(owner[live], minlength=size)[:, None] * floor
+
+
+def _sum(total: np.ndarray, owner: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
+    if len(rows):
+        for k in range(values.shape[1]):
+            total[:, k] += np.bincount(owner, values[:, k][rows], minlength=len(total))
+
+
 @dataclass
 class Model:
     languages: list[str]
     order: int
-    grams: list[tuple[Keys, np.ndarray]]  #: for n = 1..order: hashes, log2 probability by language
-    contexts: list[tuple[Keys, np.ndarray]]  #: for n = 1..order: hashes of n - 1 symbols, log2 weight by language
+    parts: list[Part]
     floor: float  #: log2 of the uniform probability
     sharpness: float = 1.0
     middle: np.ndarray | None = None
@@ -155,37 +206,17 @@ class Model:
         keep = _squeeze(symbols) | ~scored
         owner = np.repeat(np.arange(len(group)), sizes)[keep]
         symbols, scored = symbols[keep], scored[keep]
-        hashes = _raw_hashes(symbols, self.order)
         at = np.flatnonzero(scored)
         owner = owner[at]
         size = len(group)
-        total = np.zeros((size, len(self.languages)))
-        live = np.arange(len(at))
-        for n in range(self.order, 0, -1):
-            keys, values = self.grams[n - 1]
-            rows = keys.find(_mix(hashes[n - 1][at[live]], n))
-            hit = rows >= 0
-            self._sum(total, owner[live[hit]], values, rows[hit])
-            live = live[~hit]
-            if not len(live):
-                break
-            keys, values = self.contexts[n - 1]
-            ctx = _mix(hashes[n - 2][at[live] - 1], n - 1) if n > 1 else np.zeros(len(live), np.uint64)
-            rows = keys.find(ctx)
-            hit = rows >= 0
-            self._sum(total, owner[live[hit]], values, rows[hit])
-        total += np.bincount(owner[live], minlength=size)[:, None] * self.floor
+        raw = _raw_hashes(symbols, self.order)
+        # Mixed where a table is asked first; with one group of languages most are never asked.
+        hashes = [_Mixed(h, n) for n, h in enumerate(raw, 1)] if len(self.parts) == 1 else [_mix(h, n) for n, h in enumerate(raw, 1)]
+        total = np.concatenate([part.add(hashes, at, owner, size, self.floor) for part in self.parts], axis=1)
         which = np.array([k for k, _ in group])
         np.add.at(sums, which, total)
         np.add.at(counts, which, np.bincount(owner, minlength=size))
 
-    @staticmethod
-    def _sum(total: np.ndarray, owner: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
-        if not len(rows):
-            return
-        for k in range(values.shape[1]):
-            total[:, k] += np.bincount(owner, values[:, k][rows], minlength=len(total))
-
     def classify(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
         """Language, score, entropy and whether it is accepted, of texts that have letters."""
         h, counts = self.entropies(texts)
@@ -218,11 +249,18 @@ def _distinct(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray
 def fit(texts: dict[str, list[str]], order: int) -> Model:
     """Kneser-Ney models of texts by language."""
     languages = sorted(texts)
-    L = len(languages)
+    symbols = [np.unique(_symbols("".join(t))) for t in texts.values()]
+    vocabulary = len(np.setdiff1d(np.unique(np.concatenate(symbols)), [ord(PAD)])) + 1
+    parts = [_fit([texts[name] for name in languages[k : k + GROUP]], order, k, vocabulary) for k in range(0, len(languages), GROUP)]
+    return Model(languages, order, parts, -np.log2(vocabulary))
+
+
+def _fit(texts: list[list[str]], order: int, start: int, vocabulary: int) -> Part:
+    L = len(texts)
     # Of each language, only the distinct n-grams of the highest order are kept: key, suffixes, contexts, count.
     grams: list[tuple[Keys, np.ndarray]] = [None] * order
     contexts: list[tuple[Keys, np.ndarray]] = [None] * order
-    found = [_distinct(texts[language], order) for language in languages]
+    found = [_distinct(own, order) for own in texts]
     key = np.concatenate([f[0] for f in found])
     suffixes = [np.concatenate([f[1][n] for f in found]) for n in range(order - 1)]
     ctx = [np.concatenate([f[2][n] for f in found]) for n in range(order)]
@@ -244,8 +282,6 @@ def fit(texts: dict[str, list[str]], order: int) -> Model:
             suffixes = [s[at] for s in suffixes]
             ctx = [x[at] for x in ctx]
             counts, column = np.ones(len(at)), c
-    vocabulary = len(levels[-1][0]) + 1
-    floor = -np.log2(vocabulary)
     below = np.full((1, L), 1 / vocabulary)
     below_keys = np.zeros(1, np.uint64)
     for n, (keys, context, suffix, table) in zip(range(1, order + 1), reversed(levels), strict=True):
@@ -264,7 +300,7 @@ def fit(texts: dict[str, list[str]], order: int) -> Model:
         grams[n - 1] = (Keys(keys), np.asfortranarray(np.log2(probability), np.float32))
         contexts[n - 1] = (Keys(ctx_keys), np.asfortranarray(np.log2(weight), np.float32))
         below, below_keys = probability, keys
-    return Model(languages, order, grams, contexts, floor)
+    return Part(start, grams, contexts)
 
 
 def calibrate(model: Model, texts: dict[str, list[str]]) -> None:
@@ -289,33 +325,51 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> None:
         losses.append(-np.log2(np.maximum(weight[np.arange(len(rows)), truth] / weight.sum(axis=1), 1e-12)).mean())
     model.sharpness = float(grid[int(np.argmin(losses))])
     best = h.argmin(axis=1)
+    right = np.flatnonzero(truth == best)
     for k in range(L):
-        own = h[(truth == k) & (best == k), k]
-        if len(own) >= 5:
+        own = h[right[truth[right] == k], k]
+        if len(own) < FEW:
+            own = h[right, truth[right]]  # of all languages
+        if len(own) >= FEW:
             model.middle[k], high = np.quantile(own, [0.5, 0.995])
             model.limit[k] = model.middle[k] + 3 * (high - model.middle[k]) + 0.5
 
 
+def sample(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", allowed: Column | None = None,
+    rows: int = 800, sample_bytes: int = 24_000_000, seed: int = 4,
+) -> dict[str, list[str]]:
+    """By language, at most ``rows`` texts in the order of their hashes, of ``sample_bytes`` in all."""
+    some = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if allowed is None else allowed))
+    counts = {r[0]: r[1] for r in some.groupBy(F.col(lang).alias("lang")).count().collect()}  # one row a language
+    if not counts:
+        return {}
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string"), text), 11) / float(1 << 53)
+    most = int(1.2 * rows + 20)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(0.5, n / most)))])
+    drawn = some.select(F.col(lang).alias("lang"), (u * F.element_at(share, F.col(lang))).alias("u"), F.col(text).alias("text")).filter("u < 1")
+    room = max(1, sample_bytes // len(counts))
+    # First without texts: which ones fit. Rows that repeat others are one, so these are few whatever is repeated.
+    size = F.octet_length("text")
+    sizes = drawn.select("lang", "u", size.alias("size")).groupBy("lang", "u").agg(F.min("size").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > room // 4, "u")
+    ranked = sizes.withColumn("rank", F.row_number().over(order)).withColumn("filled", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = cut(ranked.filter(f"rank = 1 OR (rank <= {rows} AND filled <= {room})").select("lang", "u"))
+    texts = drawn.join(F.broadcast(chosen), ["lang", "u"])  # at most ``rows`` a language
+    found: dict[str, list[tuple[float, str]]] = {}
+    for r in texts.groupBy("lang", "u").agg(F.min(F.substring("text", 1, room)).alias("text")).collect():  # longer ones only as the first
+        found.setdefault(r["lang"], []).append((r["u"], r["text"]))
+    return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+
+
 def learn(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", allowed: Column | None = None,
-    order: int = 5, fit_rows: int = 600, calibrate_rows: int = 200, seed: int = 4,
+    order: int = 5, fit_rows: int = 600, calibrate_rows: int = 200, sample_bytes: int = 24_000_000, seed: int = 4,
 ) -> Model | None:
     """Learn from a bounded sample of the rows that ``allowed`` holds for; None if there are none."""
-    rows = docs.filter(F.col(lang).isNotNull() & (F.lit(True) if allowed is None else allowed))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
-        return None
     wanted = fit_rows + calibrate_rows
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 11) / float(1 << 53)
-    most = int(1.2 * wanted + 20)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(0.5, n / most)))])
-    sample = rows.select(F.col(lang), (u * F.element_at(share, F.col(lang))).alias("u"), F.col(text)).filter(F.col("u") < 1).filter(F.col(text).isNotNull())
-    chosen: dict[str, list[tuple[float, str]]] = {}
-    for r in sample.orderBy("u").limit(2 * most * len(counts)).collect():  # the limit matters only if very many rows have one id
-        chosen.setdefault(r[0], []).append((r[1], r[2]))
     train, held = {}, {}
-    for language, own in chosen.items():
-        own = [t for _, t in sorted(own)[:wanted]]
+    for language, own in sample(docs, id=id, text=text, lang=lang, allowed=allowed, rows=wanted, sample_bytes=sample_bytes, seed=seed).items():
         n = len(own) * calibrate_rows // wanted
         held[language], train[language] = own[:n], own[n:]
     train = {k: v for k, v in train.items() if any(ch.isalpha() for t in v for ch in t)}

@@ -262,13 +262,153 @@ def test_kneser_ney_probabilities_sum_to_one():
     from millrace.llm import langid as L
 
     model = L.fit({"a": ["abracadabra abba", "cab"], "b": ["bcd dcb bad"]}, 3)
-    context = "ab"
-    total = np.zeros(2)
-    for c in "abcdr ":
-        whole, _ = model.entropies([context + c])
-        part, _ = model.entropies([context])
-        total += np.exp2(-(3 * whole[0] - 2 * part[0]))
-    assert (total < 1.0 + 1e-6).all() and (total > 0.75).all()  # the rest is for symbols never met
+    for context in ("ab", "", "a", "bc", "zz", "d a"):
+        total = np.zeros(2)
+        for c in "abcdr z":  # z stands for all symbols never met
+            whole, n = model.entropies([context + c])
+            part, m = model.entropies([context])
+            if n[0] > m[0]:  # a second space in a row is none
+                total += np.exp2(-(n[0] * whole[0] - m[0] * part[0]))
+        assert (np.abs(total - 1.0) < 1e-5).all()
+
+
+def kneser_ney_brute(texts, order, vocabulary):
+    """log2 p(symbol | symbols before it), from counts in dictionaries."""
+    from collections import defaultdict
+    from math import log2
+
+    pad = "\x01"
+
+    def symbols(text):
+        return pad * (order - 1) + re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text))
+
+    counts = [None] * (order + 1)
+    counts[order] = Counter()
+    for t in texts:
+        own = symbols(t)
+        for k in range(order - 1, len(own)):
+            counts[order][own[k - order + 1 : k + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount, total, distinct = {}, {}, {}
+    for n in range(1, order + 1):
+        once, twice = (sum(c == x for c in counts[n].values()) for x in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once else 0.5
+        total[n], distinct[n] = defaultdict(int), defaultdict(int)
+        for g, c in counts[n].items():
+            total[n][g[:-1]] += c
+            distinct[n][g[:-1]] += 1
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / vocabulary
+        context = gram[:-1]
+        if context not in total[n]:
+            return p(gram[1:])
+        weight = discount[n] * distinct[n][context] / total[n][context]
+        return max(counts[n][gram] - discount[n], 0) / total[n][context] + weight * p(gram[1:])
+
+    def entropy(text):
+        own = symbols(text)
+        return -sum(log2(p(own[k - order + 1 : k + 1])) for k in range(order - 1, len(own))) / (len(own) - order + 1)
+
+    return entropy
+
+
+@pytest.mark.parametrize("group", [8, 2, 1])
+def test_kneser_ney_equals_brute_force(docs, monkeypatch, group):
+    from millrace.llm import langid as L
+
+    monkeypatch.setattr(L, "GROUP", group)
+    texts = {}
+    for _, t, g, _ in docs:
+        texts.setdefault(g, []).append((t or "")[:400])
+    texts = {k: v[:25] for k, v in texts.items() if k is not None}
+    own = set(re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for v in texts.values() for t in v for c in t)))
+    model = L.fit(texts, 5)
+    asked = [t[:700] for _, t, *_ in docs[-30:] if t] + ["a", "Zwei é ß, drei?", "\u0436\u0449 unseen \U0001f600", "\U00020000\U00020001"]
+    found, _ = model.entropies(asked)
+    for k, name in enumerate(model.languages):
+        entropy = kneser_ney_brute(texts[name], 5, len(own) + 1)
+        assert np.allclose(found[:, k], [entropy(t) for t in asked], rtol=1e-5)
+
+
+def test_language_query_equals_brute_force(spark, docs):
+    """Every row's prediction and score, by models in dictionaries fitted on the same sample."""
+    from millrace.llm import langid as L
+    from pyspark.sql import functions as F
+
+    prepare(spark)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    drawn = L.sample(table, allowed=F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    learned = {t for v in drawn.values() for t in v}
+    assert not learned & {t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 5 == 0} - {t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 5}
+    train = {g: v[len(v) * 200 // 800 :] for g, v in drawn.items()}
+    symbols = set(re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for v in train.values() for t in v for c in t)))
+    entropy = {g: kneser_ney_brute(v, 5, len(symbols) + 1) for g, v in train.items()}
+    model = L.learn(table, allowed=F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    found = {r.doc_id: r for r in Q.op4_language(spark, SF).collect()}
+    for i, t, *_ in docs[:60]:
+        if not t or not any(c.isalpha() for c in t) or len(t) > 20_000:
+            continue
+        h = {g: e(t) for g, e in entropy.items()}
+        best = min(sorted(h), key=h.get)
+        r = found[i]
+        assert (r.lang_pred, r.entropy) == (best, pytest.approx(h[best], rel=1e-4))
+        assert r.score == pytest.approx(1 / sum(2 ** max(-model.sharpness * (x - h[best]), -1000) for x in h.values()), rel=1e-3, abs=1e-6)
+
+
+def test_language_sample_is_bounded_in_rows_and_bytes(spark):
+    from millrace.llm import langid as L
+    from pyspark.sql import functions as F
+
+    prepare(spark)
+    rows = [(k, f"wort {k} " * 20, "de") for k in range(3000)] + [(k, "mot " * 2000, "fr") for k in range(50)] + [(5, "uno dos tres", "es")] * 500
+    rows += [(1, "lang " * 300_000, "nl"), (2, "kurz", "sv"), (3, None, "da"), (4, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = L.sample(df, rows=100, sample_bytes=500_000)
+    assert {k: len(v) for k, v in found.items()} == {"de": 100, "fr": 12, "es": 1, "nl": 1, "sv": 1}
+    assert sum(len(t.encode()) for v in found.values() for t in v) <= 500_000 and len(found["nl"][0]) == 100_000
+    assert found == L.sample(df.orderBy(F.desc("doc_id")), rows=100, sample_bytes=500_000)
+
+
+def test_language_with_few_calibration_texts_has_the_limit_of_all():
+    from millrace.llm import langid as L
+
+    pick = random.Random(1)
+
+    def text(letters):
+        return " ".join("".join(pick.choice(letters) for _ in range(4)) for _ in range(60))
+
+    train = {"a": [text("abcd") for _ in range(20)], "b": [text("efgh") for _ in range(20)], "c": [text("ijkl") for _ in range(3)]}
+    model = L.fit(train, 5)
+    L.calibrate(model, {"a": [text("abcd") for _ in range(20)], "b": [text("efgh") for _ in range(20)], "c": [text("ijkl")]})
+    assert np.isfinite(model.limit).all()
+    assert [r[0] for r in model.classify([text("ijkl")])] == ["c"] and not model.classify([text("qrstuvwxyz")])[0][3]
+
+
+def test_two_hundred_languages_fit_in_a_gigabyte():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from millrace.llm import langid as L
+texts = {}
+for k in range(200):
+    pick = random.Random(k)
+    sounds = ["".join(pick.choice("bcdfghjklmnprstvwz") + pick.choice("aeiouyäéöü") for _ in range(1)) for _ in range(40)]
+    words = ["".join(pick.choice(sounds) for _ in range(pick.randint(1, 4))) for _ in range(3000)]
+    texts[f"l{k:03d}"] = [" ".join(pick.choice(words) for _ in range(300)) for _ in range(24_000_000 // 200 // 1600)]
+model = L.fit(texts, 5)
+assert model.entropies([texts["l007"][0], texts["l150"][3]])[0].argmin(axis=1).tolist() == [7, 150]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": root})
+    assert int(done.stdout) < 1000
 
 
 # --- Mixing
