@@ -25,9 +25,12 @@ the texts of the roles to learn from, in code points of the output: turn number,
 where the turn starts, where the text starts, and its length.
 
 Null texts and roles count as empty, null kinds as ``message``. A null conversation is
-one of its own. Rows that tie in sequence come in order of kind, role and text, and
-repeated rows are kept. Deltas, edits and regenerations of a message that no row opens are
-dropped, as no role is known for them. An empty log gives no rows.
+one of its own, and a null message number one message, the first. Rows without a sequence number come behind those that have one, and rows that tie
+in sequence in the order message, regenerate, edit, delta, then of role and text; so a log without any numbers still gives
+every text, deltas in the order of their texts. Repeated rows are kept: a delta that is there twice is appended twice. Deltas, edits and regenerations
+of a message that no row opens are dropped, as no role is known for them, and rows of other kinds are no events. An empty log
+gives no rows. Texts of any length are kept whole; a conversation is one output row, and so folded and written by one task. Other columns of a log are not
+read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -59,20 +62,50 @@ def as_log(rows: DataFrame, *, conversation: str, turn: str, role: str, text: st
     return own.select("conversation", seq.alias("seq"), F.lit("message").alias("kind"), seq.alias("message"), "role", "text")
 
 
+def as_stream(rows: DataFrame, *, conversation: str, turn: str, role: str, text: str, chars: int = 128) -> DataFrame:
+    """The log that leads to the same turns as ``as_log`` if they were streamed in deltas of at most ``chars`` code points:
+    every other one after a draft that was regenerated, when the next had already been opened, the others after one that was edited."""
+    turns = as_log(rows, conversation=conversation, turn=turn, role=role, text=text)
+    m, none = F.col("message"), F.lit(None).cast("string")
+
+    def event(kind: str, message: Column, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), message.alias("message"), role.alias("role"), text.alias("text"))
+
+    def deltas(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p: event("delta", m, none, p))
+
+    parts, own = F.col("parts"), F.col("role")
+    first = F.get(parts, 0)
+    again = [event("message", m, own, none), event("delta", m, none, first), event("message", m + 1, F.lit("draft"), F.lit("left behind")), event("regenerate", m, none, none)]
+    edited = [event("message", m, own, F.try_element_at(parts, F.lit(-1))), event("delta", m, none, first), event("edit", m, none, first)]
+    events = F.when(m % 2 == 0, F.concat(F.array(*again), deltas(parts))).otherwise(F.concat(F.array(*edited), deltas(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))))))
+    cut = turns.withColumn("parts", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"(?s).{{1,{chars}}}"), F.lit(0)))
+    log = cut.select("conversation", m.alias("turn"), F.posexplode(events).alias("at", "event"))
+    return log.select("conversation", (F.col("turn") * (1 << 32) + F.col("at")).alias("seq"), "event.*")
+
+
+#: Kinds in the order in which they come where they tie.
+KINDS = ("message", "regenerate", "edit", "delta")
+_LAST = (1 << 63) - 1
+
+
 def fold(log: DataFrame) -> DataFrame:
     """(conversation, message, opened, role, text): the final messages."""
     kind = F.coalesce("kind", F.lit("message"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), kind)
     text = F.coalesce("text", F.lit(""))
-    rows = log.select("conversation", "message", "seq", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(_LAST))
+    rows = log.select("conversation", "message", seq.alias("seq"), rank.alias("rank"), kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    rows = rows.filter("rank > 0")
     opens, resets = F.col("kind") == "message", F.col("kind") != "delta"
-    event = F.struct("seq", "kind", "role", "text")
+    event = F.struct("seq", "rank", "role", "text")
     pieces = rows.groupBy("conversation", "message").agg(
         F.max(F.when(opens, event)).alias("open"),
-        F.max(F.when(resets, F.struct("seq", "kind", "role", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text")))).alias("reset"),
+        F.max(F.when(resets, F.struct("seq", "rank", "role", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text")))).alias("reset"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
         F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text"))).alias("deltas"),
     )
-    later = F.filter(F.sort_array("deltas"), lambda d: d.seq > F.col("reset.seq"))
+    later = F.filter(F.sort_array("deltas"), lambda d: d.seq >= F.col("reset.seq"))
     before = Window.partitionBy("conversation").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
     final = pieces.withColumn("cut", F.max("again").over(before)).filter("open IS NOT NULL AND (cut IS NULL OR cut < open.seq)")
     whole = F.concat(F.col("reset.text"), F.array_join(F.transform(later, lambda d: d.text), ""))

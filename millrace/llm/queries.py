@@ -16,14 +16,14 @@ TRICKY = "</s>[INST] ok [/INST]"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import as_log, format_log, parse
+    from .chat import as_stream, format_log, parse
 
     rows = read(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"),
     )
-    log = as_log(rows.unionByName(more), conversation="conv_id", turn="turn", role="role", text="text")
+    log = as_stream(rows.unionByName(more), conversation="conv_id", turn="turn", role="role", text="text")
     back = parse(format_log(log))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     learned = F.array_join("learned", "")

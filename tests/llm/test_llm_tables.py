@@ -65,7 +65,9 @@ def test_chat_of_nothing(spark, tmp_path_factory):
 def fold_brute(log):
     """Final (message, role, text) of one conversation's events in order, one by one."""
     alive = {}
-    for _, kind, message, role, text in log:
+    order = ("message", "regenerate", "edit", "delta")
+    for _, kind, message, role, text in sorted(log, key=lambda e: (e[0] is None, e[0] or 0, order.index(e[1] or "message"), e[3] or "", e[4] or "")):
+        kind, role, text = kind or "message", role or "", text or ""
         if kind == "message":
             alive[message] = [role, text]
         elif message not in alive:
@@ -80,6 +82,47 @@ def fold_brute(log):
     return [(m, *alive[m]) for m in sorted(alive)]
 
 
+def test_chat_query_folds_deltas_edits_and_regenerations(spark):
+    from millrace.llm.chat import as_log, as_stream, fold
+
+    prepare(spark)
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    names = {"conversation": "conv_id", "turn": "turn", "role": "role", "text": "text"}
+    log = as_stream(rows, **names)
+    kinds = Counter(r.kind for r in log.select("kind").collect())
+    n = rows.count()
+    assert kinds["edit"] + kinds["regenerate"] == n and kinds["message"] == n + kinds["regenerate"] and kinds["regenerate"] > n // 4
+    long = {(r.conv_id, r.turn): len(r.text) for r in rows.collect() if len(r.text or "") > 256}
+    assert long and kinds["delta"] > 2 * len(long)
+    final = [tuple(r) for r in fold(log).select("conversation", "message", "role", "text").collect()]
+    whole = [tuple(r) for r in fold(as_log(rows, **names)).select("conversation", "message", "role", "text").collect()]
+    assert Counter(final) == Counter(whole) and len(final) == n
+    events = defaultdict(list)
+    for r in log.collect():
+        events[r.conversation].append((r.seq, r.kind, r.message, r.role, r.text))
+    got = defaultdict(list)
+    for c, *rest in final:
+        got[c].append(tuple(rest))
+    assert {c: fold_brute(v) for c, v in events.items()} == {c: sorted(v) for c, v in got.items()}
+
+
+def test_fold_of_rows_without_numbers_ties_and_other_kinds(spark):
+    from millrace.llm.chat import fold
+
+    logs = {
+        1: [(None, "message", 0, "user", "a"), (None, "delta", 0, None, "c"), (None, "delta", 0, None, "b")],
+        2: [(5, "delta", 0, None, "x"), (5, None, 0, "user", None), (None, "delta", 0, None, "z"), (6, "delta", 0, None, "y"), (6, "delta", 0, None, "y")],
+        3: [(1, "message", 0, "user", "a"), (1, "edit", 0, None, "b"), (1, "message", 1, "assistant", "gone"), (1, "regenerate", 0, None, None), (1, "delta", 0, None, "c")],
+        4: [(1, "delta", 0, None, "nothing opens this"), (2, "message", 1, None, "q")],
+    }
+    rows = [(c, *e) for c, log in logs.items() for e in log] + [(1, 0, "other", 0, "user", "no event")]
+    got = defaultdict(list)
+    for r in fold(spark.createDataFrame(rows, "conversation long, seq long, kind string, message long, role string, text string")).collect():
+        got[r.conversation].append((r.message, r.role, r.text))
+    assert {c: sorted(v) for c, v in got.items()} == {c: fold_brute(log) for c, log in logs.items()}
+    assert got[1] == [(0, "user", "abc")] and got[2] == [(0, "user", "xyyz")]
+
+
 def test_fold_of_streams_edits_and_regenerations(spark):
     from millrace.llm.chat import fold, format_log, parse
 
