@@ -9,8 +9,9 @@ between both). Among at most four differing bits, the segments differ either
 * in no bit of one segment and at most two of another: keys are the exact
   segment with each codeword of the other, for the six ordered pairs, or
 * in at least one bit each, so in (1, 1), (1, 2) or (2, 1) bits of the first two, and one or two of the third:
-  keys are the pairs of their codewords, of 24 bits; or with ``wide``, for more than some 10^8 distinct
-  fingerprints, the triples of all three, of 36 bits (some 180 keys a fingerprint instead of 60, and far fewer meetings).
+  keys are the pairs of their codewords, of 24 bits; or beyond ``WIDE`` distinct fingerprints (or as ``wide`` says)
+  the triples of all three, of 36 bits: some 180 keys a fingerprint instead of 60, but meetings by chance, which grow with the
+  corpus for each key, are 4,096 times fewer. Both find the same links.
 
 Rows with equal keys are compared, and those at four or fewer bits are linked.
 Fingerprints are made distinct first, so copies meet no one. Rows of one key
@@ -19,7 +20,9 @@ and every pair of blocks is compared in a task of its own. From each key come
 the links of a spanning forest, not all pairs.
 
 Null texts count as empty: fingerprint zero, linked like any other. Null ids
-never become a component's id unless it has no other. Repeated rows are kept.
+never become a component's id unless it has no other. Repeated rows are kept, each in the group of its text. Texts of any
+length are read whole; the bits are counted in blocks of shingles. Ties do not matter, as a component's id is the
+smallest. An empty table gives no rows. Only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ MAX_BITS = 4
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
 #: Fingerprints of one key that are compared in one task.
 BLOCK = 2048
+#: Distinct fingerprints beyond which keys are triples: there some six meet by chance in a key of 24 bits.
+WIDE = 100_000_000
 _SHORT = 16
 _GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 
@@ -249,8 +254,10 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(own)
 
 
-def link(distinct: DataFrame, wide: bool = False) -> DataFrame:
+def link(distinct: DataFrame, wide: bool | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) of each group."""
+    if wide is None:
+        wide = distinct.count() > WIDE
     keyed = distinct.select("fp").mapInArrow(_keyed(wide), "key long, fp long")
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _LINKS))
     links = found.filter("b IS NOT NULL").select("a", "b")
@@ -267,7 +274,7 @@ def link(distinct: DataFrame, wide: bool = False) -> DataFrame:
     return links.unionByName(more.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool | None = None) -> DataFrame:
     """One row per row of ``docs``: id, x (a hash of the text), fp (the fingerprint's bits as a long), root (the
     same for all of a group) and component_id, the smallest id of the group."""
     rows = cut(docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("x"), fingerprints(F.col(text)).alias("fp")))
@@ -279,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.join(groups, "fp").select("id", "x", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool | None = None) -> DataFrame:
     """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text."""
     return keep_least(docs, cut(near_duplicates(docs, id=id, text=text, wide=wide).select("id", "x", "root")), id=id, text=text)
 
