@@ -16,12 +16,17 @@ to ``window`` (for 50: 13, 25, 50; the overlap makes up for odd lengths):
 Documents with equal word sequences share one scan: the smallest id stands for
 them, and the others are covered as a whole. Counts of a hash are aggregated before
 they are shuffled, within each document too, and joins back to documents read written
-tables so that Spark can split a passage that very many documents share. Windows are
-judged by 64-bit hashes of random word hashes.
+tables so that Spark can split a passage that very many documents share. Candidates are found
+by 64-bit hashes of random word hashes, which can only make too many of them; full windows are judged equal by two such
+hashes of different bases (128 bits: among 10^12 windows two different ones are taken for equal with a chance of 10^-15).
 
 Null texts have no words. Null ids never count as smaller nor as larger, so
 nothing is removed from them. Rows with one id count as one document when windows are
-compared. If no candidates survive a level, later levels do not run.
+compared; rows that repeat another lose what it loses. Texts of any length are read whole, and one document's windows fit
+a task. An empty table gives no rows. Only the columns named are read, so others may have any names. If no candidates survive a level, later levels do not run.
+
+Spark deletes a shuffle's files when the driver's JVM collects the frame that made it, so collections are asked for between levels:
+otherwise all levels' files are on disk at once.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ from .common import apart, cut, sift, written
 
 WINDOW = 50
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SECOND = 0xD1342543DE82EF95  #: base of the second hash
 _WORDS = 250_000
 
 
@@ -60,38 +65,66 @@ class Hasher:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
+        self.powers: dict[int, np.ndarray] = {}
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers), 4096)
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        """At least ``n`` powers of an odd number."""
+        if len(self.powers.get(base, ())) < n:
+            n = max(2 * n, 4096)
             with np.errstate(over="ignore"):
-                self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, np.uint64(_BASE)))])
-                self.inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, np.uint64(_INVERSE)))])
+                self.powers[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, np.uint64(base)))])
+        return self.powers[base]
 
-    def words(self, own: list[bytes]) -> np.ndarray:
-        """Running sums from which the hash of any window follows."""
+    def values(self, own: list[bytes]) -> np.ndarray:
+        """The words' hashes."""
         known = self.known
         if len(known) > _WORDS:
             known.clear()
         for w in set(own).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        self._grow(len(own) + 1)
-        values = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+        return np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+
+    def words(self, own: list[bytes]) -> np.ndarray:
+        """Running sums from which the hash of any window follows."""
+        return self._sums(self.values(own), _BASE)
+
+    def _sums(self, values: np.ndarray, base: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.powers[: len(own)])])
+            return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self._powers(base, len(values) + 1)[: len(values)])])
 
-    def windows(self, sums: np.ndarray, length: int) -> np.ndarray:
+    def windows(self, sums: np.ndarray, length: int, base: int = _BASE) -> np.ndarray:
         """Hash of the window that starts at each word."""
         n = len(sums) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            h = (sums[length:] - sums[:n]) * self.inverses[:n]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            return h ^ (h >> np.uint64(29))
+            return _spread((sums[length:] - sums[:n]) * self._powers(pow(base, -1, 1 << 64), n)[:n])
+
+    def both(self, own: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the window that starts at each word."""
+        values = self.values(own)
+        return self.windows(self._sums(values, _BASE), length), self.windows(self._sums(_spread(values ^ np.uint64(_SECOND)), _SECOND), length, _SECOND)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(31))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+def are_among(h: np.ndarray, g: np.ndarray, of_h: np.ndarray, of_g: np.ndarray) -> np.ndarray:
+    """Which pairs (h, g) are among others."""
+    order = np.lexsort((of_g, of_h))
+    of_h, of_g = of_h[order], of_g[order]
+    found = np.zeros(len(h), bool)
+    live = np.arange(len(h))
+    at = np.searchsorted(of_h, h)
+    while len(live := live[at[live] < len(of_h)]) and len(live := live[of_h[at[live]] == h[live]]):
+        found[live] |= of_g[at[live]] == g[live]
+        live = live[~found[live]]
+        at[live] += 1
+    return found
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -158,17 +191,17 @@ def _candidates(window: int):
             for raw, survivors in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 own = zstandard.ZstdDecompressor().decompress(raw).split()
                 texts.append(packer.compress(b" ".join(own)))
-                sums = hasher.words(own)
-                wide = hasher.windows(sums, second)
+                wide = hasher.windows(hasher.words(own), second)
                 hit = np.concatenate([[0], np.cumsum(np.isin(wide, survivors.values.to_numpy().view(np.uint64)))])
-                full = hasher.windows(sums, window)
-                starts = np.arange(len(full))  # a start is wanted if a survivor lies inside its window
+                h, g = hasher.both(own, window)
+                starts = np.arange(len(h))  # a start is wanted if a survivor lies inside its window
                 near = hit[starts + window - second + 1] > hit[starts]
-                hashes.append(np.unique(full[near]).view(np.int64))
+                hashes.append(np.unique(np.stack([h[near], g[near]], axis=1), axis=0).view(np.int64))
             sizes = np.cumsum([0] + [len(h) for h in hashes]).astype(np.int32)
-            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+            flat = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "g"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pairs)],
                 names=["id", "x", "words", "windows"],
             )
 
@@ -184,7 +217,7 @@ _REMOVED = T.StructType(
 )
 
 
-def _remove(window: int, id_type: pa.DataType):
+def _remove(window: int):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +226,8 @@ def _remove(window: int, id_type: pa.DataType):
             out = []
             for raw, gone in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 own = zstandard.ZstdDecompressor().decompress(raw).split()
-                full = hasher.windows(hasher.words(own), window)
-                starts = np.isin(full, gone.values.to_numpy().view(np.uint64))
+                h, g = (gone.values.field(k).to_numpy().view(np.uint64) for k in (0, 1))
+                starts = are_among(*hasher.both(own, window), h, g)
                 edge = np.zeros(len(own) + 1, np.int64)
                 at = np.flatnonzero(starts)
                 np.add.at(edge, at, 1)
@@ -219,10 +252,10 @@ def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([packer.compress(x or b"") for x in batch.cast(pa.binary()).to_pylist()], pa.binary())
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
     """The hashes that more than one document has, each with the smallest id."""
-    found = rows.groupBy(key).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return written(found.filter("least < most").select(key, "least"), "shared")
+    found = rows.groupBy(*key).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    return written(found.filter("least < most").select(*key, "least"), "shared")
 
 
 def _free(spark) -> None:
@@ -231,43 +264,54 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``: id, x (hash of the text), n_words, n_removed, kept_sha256, kept and spans.
-
-    ``kept`` is the remaining words joined by one space, and ``spans`` the removed ranges of
-    words; both are null where nothing is removed. ``id`` must be a long.
-    """
-    if window < 3:
-        raise ValueError("windows of fewer than three words have no two levels below them")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("text"))
-    row = "id long, x long, n_words long, sha string, anchors array<struct<h: long, l: long, r: long>>"
-    scanned = written(rows.mapInArrow(_scan(window), row), "scanned")
-    same = cut(scanned.groupBy("sha").agg(F.min("id").alias("first")))
-    docs_of = written(scanned.select("id", "x", "n_words", "sha").join(same, "sha"), "documents")
-
+def _partly(rows: DataFrame, scanned: DataFrame, docs_of: DataFrame, window: int) -> DataFrame:
+    """(id, x, n_removed, kept_sha256, kept, spans) of documents that lose some of their words to others."""
+    spark = rows.sparkSession
+    none = spark.createDataFrame([], _REMOVED)
     one = scanned.filter("id IS NOT NULL").select("id", F.explode("anchors").alias("a"))
     some = _shared(one.select("id", F.col("a.h").alias("h")), "h").select("h")
+    if some.isEmpty():
+        return none
     survivors = one.select("id", "a.h", "a.l", "a.r").join(some, "h").select("id", F.explode(F.array("l", "r")).alias("h")).distinct()
     stand = docs_of.filter("id = first").select("id").distinct()
     survivors = written(survivors.join(stand, "id", "left_semi"), "survivors")
     _free(spark)
     some = _shared(survivors, "h").select("h")
+    if some.isEmpty():
+        return none
     of = written(survivors.join(some, "h").groupBy("id").agg(F.collect_set("h").alias("survivors")), "candidates")
     _free(spark)
 
     near, _ = sift(rows, F.col("id"), of, F.col("id"))  # documents without candidates are not shuffled
     near = near.select("id", "x", _packed("text").alias("text")).join(of, "id")
-    found = written(near.mapInArrow(_candidates(window), "id long, x long, words binary, windows array<long>"), "windows")
+    found = written(near.mapInArrow(_candidates(window), "id long, x long, words binary, windows array<struct<h: long, g: long>>"), "windows")
     _free(spark)
-    full = found.select("id", F.explode("windows").alias("h")).distinct()
-    earlier = _shared(full, "h")
-    gone = full.join(earlier, "h").filter("id > least").groupBy("id").agg(F.collect_list("h").alias("gone"))
+    full = found.select("id", F.explode("windows").alias("w")).select("id", "w.h", "w.g").distinct()
+    earlier = _shared(full, "h", "g")
+    if earlier.isEmpty():
+        return none
+    gone = full.join(earlier, ["h", "g"]).filter("id > least").groupBy("id").agg(F.collect_list(F.struct("h", "g")).alias("gone"))
     gone = written(gone, "gone")
     _free(spark)
-    part = found.select("id", "x", "words").join(gone, "id").mapInArrow(_remove(window, pa.int64()), _REMOVED)
-    part = part.filter("n_removed > 0").dropDuplicates(["id", "x"])
+    part = found.select("id", "x", "words").join(gone, "id").mapInArrow(_remove(window), _REMOVED)
+    return part.filter("n_removed > 0").dropDuplicates(["id", "x"])
+
+
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per row of ``docs``: id, x (hash of the text), n_words, n_removed, kept_sha256, kept and spans.
+
+    ``kept`` is the remaining words joined by one space, and ``spans`` the removed ranges of
+    words; both are null where nothing is removed. ``id`` must be a long.
+    """
+    if window < 3:
+        raise ValueError("windows of fewer than three words have no two levels below them")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("text"))
+    row = "id long, x long, n_words long, sha string, anchors array<struct<h: long, l: long, r: long>>"
+    scanned = written(rows.mapInArrow(_scan(window), row), "scanned")
+    same = cut(scanned.groupBy("sha").agg(F.min("id").alias("first")))
+    docs_of = written(scanned.select("id", "x", "n_words", "sha").join(same, "sha"), "documents")
 
+    part = _partly(rows, scanned, docs_of, window)
     whole = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))

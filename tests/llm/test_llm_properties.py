@@ -10,7 +10,7 @@ from millrace.llm import mpeg as M
 from millrace.llm import warc as W
 from millrace.llm.html import main_text
 from millrace.llm.simhash import forest, fuzzy_keys
-from millrace.llm.substring import Hasher, _least, anchors, levels
+from millrace.llm.substring import Hasher, _least, anchors, are_among, levels
 
 WORDS = st.lists(st.sampled_from([b"a", b"b", b"c", b"dd"]), max_size=80)
 
@@ -41,6 +41,22 @@ def test_window_hashes_are_equal_as_windows_are(words, length):
     assert len(set(found.tolist())) == len(set(windows))
 
 
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), max_size=40), st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_pairs_of_hashes_are_found_though_one_half_collides(asked, known):
+    a, b = (np.array(x, np.uint64).reshape(-1, 2) for x in (asked, known))
+    assert are_among(a[:, 0], a[:, 1], b[:, 0], b[:, 1]).tolist() == [x in known for x in asked]
+
+
+@given(WORDS, st.sampled_from([1, 3, 5]))
+@settings(max_examples=100, deadline=None)
+def test_both_hashes_are_equal_as_windows_are(words, length):
+    h, g = Hasher().both(words, length)
+    windows = [tuple(words[k : k + length]) for k in range(len(words) - length + 1)]
+    assert len(set(h.tolist())) == len(set(g.tolist())) == len(set(zip(h.tolist(), g.tolist(), strict=True))) == len(set(windows))
+    assert not set(h.tolist()) & set(g.tolist())
+
+
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=60), st.integers(1, 20))
 @settings(max_examples=100, deadline=None)
 def test_running_minimum(values, span):
