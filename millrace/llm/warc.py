@@ -6,7 +6,8 @@ own records, writes it as a skippable frame (magic 0x184D2A5D) at the front of e
 of its files, and then one Zstandard frame for each record, so that any record can be
 read alone. Pages with equal payloads are written once: the one with the smallest id
 is a ``response``, the others are ``revisit`` records that refer to it and hold no
-payload. The result is a manifest with a row for each file; a file counts only if it
+payload. Payloads that no other page has, nearly all as a rule, are written by the tasks that read them; those
+that several have are found by their digests, and of these only the first copies are shuffled. The result is a manifest with a row for each file; a file counts only if it
 is in the manifest, so files left behind by a lost or repeated task do no harm.
 
 ``read_archives`` reads files back as rows, with their own dictionaries, checking
@@ -15,7 +16,7 @@ digests of payloads.
 Null payloads count as empty, null URLs as empty; control characters in URLs are
 percent-encoded. A page with a null id revisits a page with equal payload that has an id;
 if none has, all are responses. Rows that repeat id and payload of a response are responses.
-An empty table gives an empty manifest. Too few records to train on (or too alike)
+Payloads of any length are one record. Other columns are not read, so they may have any names. An empty table gives an empty manifest. Too few records to train on (or too alike)
 give a dictionary that is the plain bytes of the first of them.
 """
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import sift, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Bytes of records a dictionary is trained on, its size, and compressed bytes of a file after which a new one begins.
@@ -72,12 +73,13 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, sha1_hex: str, first: int | None) -> bytes:
-    """A response, or a revisit if another page is the first with the payload."""
-    url, http = _url(url), f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id: int | None, url: str | None, payload: bytes | None, sha1_hex: str, first: int | None, size: int | None = None) -> bytes:
+    """A response, or a revisit if another page is the first with the payload (then only its size is needed)."""
+    size = len(payload) if size is None else size
+    url, http = _url(url), f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = [
         ("WARC-Record-ID", record_id(page_id, sha1_hex, url)), ("WARC-Date", DATE), ("WARC-Target-URI", url),
-        ("WARC-Payload-Digest", f"sha1:{base32(sha1_hex)}"), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Digest", f"sha1:{base32(sha1_hex)}"), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(size)),
     ]
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
@@ -154,19 +156,32 @@ def archive(pages: DataFrame, folder: str, *, id: str = "page_id", url: str = "u
     """Write archives into ``folder`` (a URI); the manifest: archive, records, bytes."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = cut(rows.groupBy("sha1").agg(F.min("id").alias("first")))
+    digests = written(rows.select("id", "url", "sha1", F.octet_length("payload").cast("long").alias("size")), "digests")
+    several = digests.groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
+    several = written(several, "several")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         writer = Writer(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}")
         for batch in batches:
-            for page_id, address, raw, sha1, least in zip(*(batch.column(n).to_pylist() for n in ("id", "url", "payload", "sha1", "first")), strict=True):
-                writer.add(page_record(page_id, address, raw, sha1, least))
+            for page_id, address, raw, sha1, least, size in zip(*(batch.column(n).to_pylist() for n in ("id", "url", "payload", "sha1", "first", "size")), strict=True):
+                writer.add(page_record(page_id, address, raw, sha1, least, size))
         paths, records, sizes = zip(*done, strict=True) if (done := writer.finish()) else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "records", "bytes"])
 
-    joined = rows.join(first, "sha1").select("id", "url", "payload", "sha1", "first")
-    manifest = written(joined.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
+    columns = ("id", "url", "payload", "sha1", "first", "size")
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long"))
+    shared, alone = sift(rows, F.col("sha1"), several, F.col("sha1"))
+    # What passes the sieve by chance has a digest of its own, and is a response like the first copies.
+    passed, _ = sift(digests, F.col("sha1"), several, F.col("sha1"))
+    strays = passed.join(several, "sha1", "left_anti").select("sha1", F.col("id").alias("first"))
+    owners = written(several.unionByName(strays), "owners")
+    firsts, _ = sift(shared, F.xxhash64("sha1", "id"), owners, F.xxhash64("sha1", "first"))
+    is_first = F.col("id").eqNullSafe(F.col("first"))
+    responses = firsts.join(owners, "sha1").filter(is_first)
+    revisits = digests.join(several, "sha1").filter(F.col("first").isNotNull() & ~is_first).withColumn("payload", F.lit(None).cast("binary"))
+    every = alone.withColumn("first", F.col("id")).select(*columns).unionByName(responses.select(*columns)).unionByName(revisits.select(*columns))
+    manifest = written(every.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
     scheme = folder.split("://")[0] + "://" if "://" in folder and not folder.startswith("file:") else ""
     return manifest.withColumn("archive", F.concat(F.lit(scheme), "archive")) if scheme else manifest
 

@@ -201,6 +201,16 @@ def test_warc(spark, tmp_path_factory, which):
     assert Counter(tuple(r) for r in Q.op8_warc(spark, path).collect()) == warc_brute(rows)
 
 
+def test_warc_with_a_sieve_that_everything_passes(spark, tmp_path_factory, monkeypatch):
+    from millrace.llm import common as C
+
+    monkeypatch.setattr(C, "SIEVE_BITS", 64)
+    monkeypatch.setattr(C, "_ROW_BITS", 32)
+    rows = [(k, f"u{k}", f"page {k % 70} {k if k % 3 else ''}", "", "", "") for k in range(300)] + PAGE_ROWS
+    path = table(spark, rows, PAGES, "pages", tmp_path_factory)
+    assert Counter(tuple(r) for r in Q.op8_warc(spark, path).collect()) == warc_brute([r[:3] for r in rows])
+
+
 def test_archives_begin_with_their_dictionary_and_records_stand_alone(spark, monkeypatch):
     from millrace.llm import warc as W
 
