@@ -117,6 +117,16 @@ def expr_date_interval(t):
     return t.lineitem.filter(between_days("l_shipdate", moved("1996-02-01", months=3), moved("1998-12-01", days=-100))).agg(F.count(lit(1)).alias("n"))
 
 
+@_entry("SELECT count(*) AS n FROM t_lineitem WHERE l_shipdate >= CAST('1997-01-01' AS DATE) AND l_shipdate < CAST('1997-01-01' AS DATE) + INTERVAL '1' YEAR")
+def expr_date_call(t):
+    return t.lineitem.filter("l_shipdate >= date('1997-01-01') AND l_shipdate < date('1997-01-01') + INTERVAL '1' YEAR").agg(F.count(lit(1)).alias("n"))
+
+
+@_entry('SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS "sum(l_linenumber)", count(*) AS "count(1)", min(l_orderkey) AS "min(l_orderkey)" FROM t_lineitem GROUP BY l_returnflag')
+def agg_default_names(t):
+    return t.lineitem.groupBy("l_returnflag").agg(F.sum("l_linenumber"), F.count(lit(1)), F.min("l_orderkey"))
+
+
 @_entry("SELECT substring(c_phone, 1, 2) AS cntrycode, count(*) AS n FROM t_customer GROUP BY 1")
 def expr_substring(t):
     return t.customer.groupBy(F.substring("c_phone", 1, 2).alias("cntrycode")).agg(F.count(lit(1)).alias("n"))

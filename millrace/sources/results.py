@@ -6,6 +6,7 @@ import csv
 import io
 import os
 import sys
+import time
 from collections.abc import Callable, Iterable
 from datetime import date
 from decimal import Decimal
@@ -40,13 +41,17 @@ def csv_lines(df: DataFrame, places: int = 2) -> Iterable[str]:
         yield ",".join(quote(format_value(v, places)) for v in row) + "\n"
 
 
-def write_csv(df: DataFrame, path: str, *, distributed: bool = False, places: int = 2) -> None:
-    """One local file in the order of the frame; or, distributed, a folder that Spark writes."""
+def write_csv(df: DataFrame, path: str, *, distributed: bool = False, places: int = 2, out=None) -> None:
+    """One local file in the order of the frame, line by line through the driver (and to ``out``); or, distributed, a folder that
+    Spark's tasks write, for results that are not meant to be read in one piece."""
     if distributed:
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
         return
     with open(path, "w", newline="") as f:
-        f.writelines(csv_lines(df, places))
+        for line in csv_lines(df, places):
+            f.write(line)
+            if out is not None:
+                out.write(line)
 
 
 def read_csv(text: str) -> list[list[str]]:
@@ -54,11 +59,14 @@ def read_csv(text: str) -> list[list[str]]:
 
 
 def run_batch(
-    spark: SparkSession, path: str, names: Iterable[str], queries: dict[str, Callable[[SparkSession, str], DataFrame]], *, folder: str = ".", out=None
-) -> list[str]:
-    """Run queries by name (``q7`` or ``7``) in turn. The k-th goes to result<k>.csv in ``folder`` and to ``out``.
-
-    An unknown name is reported in its place and the others still run.
+    spark: SparkSession, path: str, names: Iterable[str], queries: dict[str, Callable[[SparkSession, str], DataFrame]], *,
+    folder: str = ".", out=None, distributed: bool = False, ran: Callable[[str, DataFrame, float, float], None] | None = None,
+) -> list[str]:
+    """Run queries by name (``q7`` or ``7``) in turn. The k-th goes to result<k>.csv in ``folder`` and to ``out``; if
+    ``distributed``, to a folder of that name that Spark's tasks write (``folder`` may then be any URI), and not to ``out``.
+
+    An unknown name is reported in its place and the others still run. ``ran`` is told of each query: its name, its frame, and the seconds
+    that planning and running took.
     """
     out = sys.stdout if out is None else out
     files = []
@@ -68,9 +76,12 @@ def run_batch(
         if own is None:
             out.write(f"Unknown query: {name}\n")
             continue
-        target = os.path.join(folder, f"result{k}.csv")
-        write_csv(own(spark, path), target)
+        target = f"{folder}/result{k}.csv" if distributed else os.path.join(folder, f"result{k}.csv")
+        began = time.perf_counter()
+        df = own(spark, path)
+        planned = time.perf_counter()
+        write_csv(df, target, distributed=distributed, out=out)
+        if ran is not None:
+            ran(name, df, planned - began, time.perf_counter() - planned)
         files.append(target)
-        with open(target) as f:
-            out.write(f.read())
     return files

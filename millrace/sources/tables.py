@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from ..functions.exprs import hundredths
+from ..session import fit_shuffles
 
 #: Columns each file must have, and those derived if absent.
 TABLES: dict[str, tuple[str, ...]] = {
@@ -105,6 +106,8 @@ class Tables:
     """The typed tables below a path, each read when it is first asked for."""
 
     NAMES = (*TABLES, "partsupp")
+    #: Whether partsupp has no file; known once it has been asked for.
+    derives_partsupp = False
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path
@@ -122,8 +125,22 @@ class Tables:
         except AnalysisException as e:
             if name != "partsupp" or e.getCondition() != "PATH_NOT_FOUND":
                 raise
+            self.derives_partsupp = True
             return supplied(self.lineitem)
 
+    def size(self) -> int:
+        """Bytes of all the tables that have files."""
+        total = 0
+        for name in TABLES:
+            try:
+                raw = self._spark.read.parquet(f"{self._path}/{name}.parquet")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue
+            total += int(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return total
+
     def views(self) -> None:
         """Register all as temporary views."""
         for name in self.NAMES:
@@ -133,11 +150,14 @@ class Tables:
 def load_tables(spark: SparkSession, path: str) -> Tables:
     """The typed tables below ``path`` (local or any store Spark reads).
 
-    A session lists files and reads schemas of a path once; ``forget`` makes it look again.
+    A session lists files and reads schemas of a path once; ``forget`` makes it look again. On a cluster, shuffles
+    are then given partitions for the tables' size (``session.fit_shuffles``).
     """
     known = spark.__dict__.setdefault("_millrace_tables", {})
     if path not in known:
         known[path] = Tables(spark, path)
+        if not spark.sparkContext.master.startswith("local"):
+            fit_shuffles(spark, known[path].size())
     return known[path]
 
 

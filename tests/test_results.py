@@ -37,6 +37,68 @@ def test_batch(spark, tmp_path):
     assert "--- query q6 ---\nrevenue\n" in text and "Unknown query: 99" in text and text.count("--- query") == 3
 
 
+def test_batch_tells_times_and_writes_by_tasks(spark, tmp_path):
+    told = []
+    out = io.StringIO()
+    files = run_batch(spark, SF, ["q1", "nope"], QUERIES, folder=str(tmp_path), out=out, distributed=True, ran=lambda *x: told.append(x))
+    assert [t[0] for t in told] == ["q1"] and told[0][2] >= 0 and told[0][3] > 0
+    assert spark.read.option("header", True).csv(files[0]).count() == 6 and "sum_qty" not in out.getvalue()
+
+
+def test_trace_counts_rows(spark):
+    from millrace.sources import load_tables
+    from millrace.trace import report, steps
+
+    df = QUERIES["q1"](spark, SF)
+    n = len(df.collect())
+    found = steps(df)
+    assert any(s.operator.startswith("Scan parquet") and s.rows == load_tables(spark, SF).lineitem.count() for s in found)
+    assert any(s.operator == "HashAggregate" and s.rows == n for s in found) and any(s.shuffled for s in found)
+    joined = QUERIES["q3"](spark, SF)
+    rows = len(joined.collect())
+    assert any(s.operator.endswith("Join") and s.rows for s in steps(joined)) and any(s.operator == "Sort" for s in steps(joined))
+    assert rows and "rows" in report(joined)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import millrace.__main__ as M
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(M, "session", lambda master: spark)
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    monkeypatch.setattr("sys.argv", ["millrace", SF, "--trace"])
+    monkeypatch.setattr("sys.stdin", io.StringIO("q6\n14\n\nq1\n"))
+    M.main()
+    got = capsys.readouterr()
+    assert "--- query q6 ---" in got.out and "promo_revenue" in got.out and "--- query q1 ---" not in got.out
+    assert "q6: planned in" in got.err and "ran in" in got.err and "Scan parquet" in got.err and "all: " in got.err
+
+
+def test_shuffles_fit_the_input(spark):
+    from types import SimpleNamespace
+
+    from millrace.session import _INITIAL, fit_shuffles, partitions_for
+    from millrace.sources import load_tables
+
+    assert partitions_for(0, 8) == 16 and partitions_for(100 << 30, 8) == 400 and partitions_for(1 << 47, 8) == 100_000
+    assert load_tables(spark, SF).size() > 100_000
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    def fake(**given):
+        return SimpleNamespace(conf=Conf(given), sparkContext=SimpleNamespace(defaultParallelism=8))
+
+    one = fake()
+    fit_shuffles(one, 100 << 30)
+    fit_shuffles(one, 1 << 30)
+    assert one.conf[_INITIAL] == 400
+    given = fake(**{_INITIAL: "77"})
+    fit_shuffles(given, 100 << 30)
+    assert given.conf[_INITIAL] == "77"
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
