@@ -470,6 +470,62 @@ def test_schedule_is_spread_and_blocks_are_equal(spark, docs):
     assert total == len(slots)
 
 
+def plan_brute(docs, sources, u, block, golden=0.6180339887498949, bucket=1024):
+    """The whole plan from its definition: points through cumulative shares, ranks, documents end to end, equal blocks."""
+    from math import floor
+
+    n = -(-sum(r["source_size"] for r in sources) // block)
+    own = [r for r in sources if r["goal"] > 0]
+    total, high, edges = sum(r["target"] for r in own), 0.0, []
+    for r in own:
+        high += r["target"]
+        edges.append((high / total, r["src"]))
+    slots = {r["src"]: [] for r in own}
+    for j in range(n):
+        x = (j + 0.5) * golden
+        x -= floor(x)
+        slots[next((src for h, src in edges if x < h), edges[-1][1])].append(j)
+    for src, found in slots.items():
+        if not found:
+            found.append(n + src)
+    out = Counter()
+    for r in own:
+        src, goal, places = r["src"], r["goal"], slots[r["src"]]
+        rows = [d for d in docs if d["src"] == src and d["size"] > 0]
+        per, rest = divmod(goal, len(places))
+        starts = [k * per + min(k, rest) for k in range(len(places) + 1)]
+        at = 0
+        for epoch in range((goal - 1) // r["source_size"] + 1):
+            def place(d, epoch=epoch, r=r):
+                v = u[epoch, d["id"], d["size"]]
+                return floor(v * (r["docs"] // bucket + 1)), v, (d["id"] is not None, d["id"] or 0), d["size"]
+
+            for d in sorted(rows, key=place):
+                stop = min(at + d["size"], goal)
+                for k, slot in enumerate(places):
+                    a, b = max(at, starts[k]), min(stop, starts[k + 1])
+                    if b > a:
+                        out[slot, src, k, epoch, d["id"], a - at, b - a] += 1
+                at += d["size"]
+    return out
+
+
+@pytest.mark.parametrize("which,block", [("plain", 300), ("edges", 5000), ("plain", 100_000)])
+def test_mix_equals_the_schedule_by_brute_force(spark, docs, edges, which, block):
+    from millrace.llm import mixing as M
+    from pyspark.sql import functions as F
+
+    prepare(spark)
+    m = M.mix(with_clashes(spark, docs if which == "plain" else edges), block=block)
+    sized = [r.asDict() for r in m.sized.select("id", "size", "src").collect()]
+    sources = sorted((r.asDict() for r in m.sources.collect()), key=lambda r: r["src"])
+    epochs = spark.range(4).select(F.col("id").alias("epoch"))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(20260101), "epoch", "id", "size"), 11) / float(1 << 53)
+    u = {(r.epoch, r.id, r.size): r.u for r in m.sized.select("id", "size").distinct().join(epochs).select("epoch", "id", "size", hashed.alias("u")).collect()}
+    found = Counter((r.slot, r.src, r.block, r.epoch, r.id, r.first_word, r.words) for r in m.plan.collect())
+    assert found == plan_brute(sized, sources, u, block)
+
+
 # --- MPEG audio
 
 
