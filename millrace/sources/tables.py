@@ -8,6 +8,7 @@ hundredths (``_c``), and days as dates and as stored (``_at``). Everything is la
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +112,30 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path
+        self._stamps: dict[str, tuple[int, int] | None] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise AttributeError(name)
+        self._stamps[name] = self._stamp(name)
         own = self._read(name)
         setattr(self, name, own)
         return own
 
+    def _stamp(self, name: str) -> tuple[int, int] | None:
+        """When a table's file or folder was last changed, and its length; None if there is none."""
+        sc = self._spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}.parquet")
+        try:
+            status = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        except Py4JJavaError:
+            return None
+        return status.getModificationTime(), status.getLen()
+
+    def changed(self) -> bool:
+        """Whether a table that has been read has other files now."""
+        return any(self._stamp(name) != stamp for name, stamp in self._stamps.items())
+
     def _read(self, name: str) -> DataFrame:
         try:
             return typed(self._spark.read.parquet(f"{self._path}/{name}.parquet"), name)
@@ -150,11 +167,12 @@ class Tables:
 def load_tables(spark: SparkSession, path: str) -> Tables:
     """The typed tables below ``path`` (local or any store Spark reads).
 
-    A session lists files and reads schemas of a path once; ``forget`` makes it look again. On a cluster, shuffles
+    A session lists files and reads schemas of a path once, and again when a table's file or folder has changed. Stores that
+    keep no times for folders, and changes further down in partitioned ones, do not show; ``forget`` makes it look again. On a cluster, shuffles
     are then given partitions for the tables' size (``session.fit_shuffles``).
     """
     known = spark.__dict__.setdefault("_millrace_tables", {})
-    if path not in known:
+    if path not in known or known[path].changed():
         known[path] = Tables(spark, path)
         if not spark.sparkContext.master.startswith("local"):
             fit_shuffles(spark, known[path].size())

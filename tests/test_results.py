@@ -106,16 +106,20 @@ def test_entry_and_names(spark):
     assert {f"q{k}" for k in range(1, 23)} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_tables_are_listed_once_until_forgotten(spark, tmp_path):
+def test_tables_are_listed_again_when_they_change(spark, tmp_path):
     from millrace.sources import forget, load_tables
 
     path = str(tmp_path / "t")
     spark.createDataFrame([(0, "A")], "r_regionkey int, r_name string").write.parquet(f"{path}/region.parquet")
-    assert load_tables(spark, path) is load_tables(spark, path) and load_tables(spark, path).region.count() == 1
+    first = load_tables(spark, path)
+    assert first.region.count() == 1 and load_tables(spark, path) is first
     spark.createDataFrame([(1, "B")], "r_regionkey int, r_name string").write.mode("append").parquet(f"{path}/region.parquet")
-    assert load_tables(spark, path).region.count() == 1
-    forget(spark, path)
     assert load_tables(spark, path).region.count() == 2
+    spark.createDataFrame([(2, "C")], "r_regionkey int, r_name string").write.mode("overwrite").parquet(f"{path}/region.parquet")
+    assert load_tables(spark, path).region.first()[1] == "C"
+    last = load_tables(spark, path)
+    forget(spark, path)
+    assert load_tables(spark, path) is not last
 
 
 def test_views(spark):
