@@ -17,8 +17,10 @@ Documents with equal word sequences share one scan: the smallest id stands for
 them, and the others are covered as a whole. Counts of a hash are aggregated before
 they are shuffled, within each document too, and joins back to documents read written
 tables so that Spark can split a passage that very many documents share. Candidates are found
-by 64-bit hashes of random word hashes, which can only make too many of them; full windows are judged equal by two such
-hashes of different bases (128 bits: among 10^12 windows two different ones are taken for equal with a chance of 10^-15).
+by 64-bit hashes of random word hashes, which can only make too many of them; full windows are judged equal by such a hash
+and 32 bits of another one of a different base (96 bits: among 10^12 windows two different ones are taken for equal with a chance
+of 10^-5). They are grouped by the first hash alone, which tells for each whether its windows agree in the second; only those that do not
+are grouped again by both.
 
 Null texts have no words. Null ids never count as smaller nor as larger, so
 nothing is removed from them. Rows with one id count as one document when windows are
@@ -101,9 +103,10 @@ class Hasher:
             return _spread((sums[length:] - sums[:n]) * self._powers(pow(base, -1, 1 << 64), n)[:n])
 
     def both(self, own: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the window that starts at each word."""
+        """Two independent hashes, of 64 and 32 bits, of the window that starts at each word."""
         values = self.values(own)
-        return self.windows(self._sums(values, _BASE), length), self.windows(self._sums(_spread(values ^ np.uint64(_SECOND)), _SECOND), length, _SECOND)
+        second = self.windows(self._sums(_spread(values ^ np.uint64(_SECOND)), _SECOND), length, _SECOND)
+        return self.windows(self._sums(values, _BASE), length), (second >> np.uint64(32)).astype(np.uint32)
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -113,6 +116,14 @@ def _spread(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def distinct_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (h, g)."""
+    _, first, group = np.unique(h, return_index=True, return_inverse=True)
+    stray = np.flatnonzero(g[first][group] != g)  # as good as never: other windows of one hash
+    first = np.concatenate([first, stray])
+    return h[first], g[first]
+
+
 def are_among(h: np.ndarray, g: np.ndarray, of_h: np.ndarray, of_g: np.ndarray) -> np.ndarray:
     """Which pairs (h, g) are among others."""
     order = np.lexsort((of_g, of_h))
@@ -187,7 +198,7 @@ def _candidates(window: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, packer = Hasher(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts, hashes = [], []
+            texts, hs, gs = [], [], []
             for raw, survivors in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 own = zstandard.ZstdDecompressor().decompress(raw).split()
                 texts.append(packer.compress(b" ".join(own)))
@@ -196,10 +207,12 @@ def _candidates(window: int):
                 h, g = hasher.both(own, window)
                 starts = np.arange(len(h))  # a start is wanted if a survivor lies inside its window
                 near = hit[starts + window - second + 1] > hit[starts]
-                hashes.append(np.unique(np.stack([h[near], g[near]], axis=1), axis=0).view(np.int64))
-            sizes = np.cumsum([0] + [len(h) for h in hashes]).astype(np.int32)
-            flat = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.int64)
-            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "g"])
+                h, g = distinct_pairs(h[near], g[near])
+                hs.append(h.view(np.int64))
+                gs.append(g.view(np.int32))
+            sizes = np.cumsum([0] + [len(h) for h in hs]).astype(np.int32)
+            flat = [pa.array(np.concatenate([np.zeros(0, kind), *own]).astype(kind)) for own, kind in ((hs, np.int64), (gs, np.int32))]
+            pairs = pa.StructArray.from_arrays(flat, ["h", "g"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pairs)],
                 names=["id", "x", "words", "windows"],
@@ -226,7 +239,7 @@ def _remove(window: int):
             out = []
             for raw, gone in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 own = zstandard.ZstdDecompressor().decompress(raw).split()
-                h, g = (gone.values.field(k).to_numpy().view(np.uint64) for k in (0, 1))
+                h, g = gone.values.field(0).to_numpy().view(np.uint64), gone.values.field(1).to_numpy().view(np.uint32)
                 starts = are_among(*hasher.both(own, window), h, g)
                 edge = np.zeros(len(own) + 1, np.int64)
                 at = np.flatnonzero(starts)
@@ -252,10 +265,10 @@ def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([packer.compress(x or b"") for x in batch.cast(pa.binary()).to_pylist()], pa.binary())
 
 
-def _shared(rows: DataFrame, *key: str) -> DataFrame:
+def _shared(rows: DataFrame, *key: str, **more) -> DataFrame:
     """The hashes that more than one document has, each with the smallest id."""
-    found = rows.groupBy(*key).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return written(found.filter("least < most").select(*key, "least"), "shared")
+    found = rows.groupBy(*key).agg(F.min("id").alias("least"), F.max("id").alias("most"), *[c.alias(k) for k, c in more.items()])
+    return written(found.filter("least < most").select(*key, "least", *more), "shared")
 
 
 def _free(spark) -> None:
@@ -284,13 +297,17 @@ def _partly(rows: DataFrame, scanned: DataFrame, docs_of: DataFrame, window: int
 
     near, _ = sift(rows, F.col("id"), of, F.col("id"))  # documents without candidates are not shuffled
     near = near.select("id", "x", _packed("text").alias("text")).join(of, "id")
-    found = written(near.mapInArrow(_candidates(window), "id long, x long, words binary, windows array<struct<h: long, g: long>>"), "windows")
+    found = written(near.mapInArrow(_candidates(window), "id long, x long, words binary, windows array<struct<h: long, g: int>>"), "windows")
     _free(spark)
-    full = found.select("id", F.explode("windows").alias("w")).select("id", "w.h", "w.g").distinct()
-    earlier = _shared(full, "h", "g")
+    full = found.select("id", F.explode("windows").alias("w")).select("id", "w.h", "w.g")
+    earlier = _shared(full, "h", g=F.min("g"), other=F.max("g"))
     if earlier.isEmpty():
         return none
-    gone = full.join(earlier, ["h", "g"]).filter("id > least").groupBy("id").agg(F.collect_list(F.struct("h", "g")).alias("gone"))
+    unlike = earlier.filter("g != other").select("h")
+    earlier = earlier.filter("g = other").select("h", "g", "least")
+    if not unlike.isEmpty():
+        earlier = earlier.unionByName(_shared(full.join(unlike, "h", "left_semi"), "h", "g").select("h", "g", "least"))
+    gone = full.join(earlier, ["h", "g"]).filter("id > least").groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
     gone = written(gone, "gone")
     _free(spark)
     part = found.select("id", "x", "words").join(gone, "id").mapInArrow(_remove(window), _REMOVED)

@@ -225,6 +225,38 @@ def test_substring_of_shifted_and_overlapping_passages(spark, window):
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed and len(r.kept.split()) == r.n_words - r.n_removed
 
 
+def test_substring_with_a_first_hash_that_collides(spark, monkeypatch):
+    """The first hash of windows is cut to a few bits, so that the second has to tell them apart."""
+    from millrace.llm import substring as S
+
+    prepare(spark)
+    remove, candidates = S._remove, S._candidates
+
+    def coarse(make):
+        def made(window):
+            run = make(window)
+
+            def task(batches):
+                both = S.Hasher.both
+                S.Hasher.both = lambda self, own, length: (lambda h, g: (h & np.uint64(3), g))(*both(self, own, length))
+                try:
+                    yield from run(batches)
+                finally:
+                    S.Hasher.both = both
+
+            return task
+
+        return made
+
+    monkeypatch.setattr(S, "_remove", coarse(remove))
+    monkeypatch.setattr(S, "_candidates", coarse(candidates))
+    pick = random.Random(9)
+    passages = [[f"p{j}_{k}" for k in range(12)] for j in range(3)]
+    rows = [(i, " ".join([f"d{i}_{k}" for k in range(pick.randint(0, 9))] + pick.choice(passages) + pick.choice(passages))) for i in range(30)]
+    found = S.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), window=8)
+    assert Counter((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == substring_brute(rows, 8)
+
+
 # --- Language
 
 

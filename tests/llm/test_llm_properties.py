@@ -10,7 +10,7 @@ from millrace.llm import mpeg as M
 from millrace.llm import warc as W
 from millrace.llm.html import main_text
 from millrace.llm.simhash import forest, fuzzy_keys
-from millrace.llm.substring import Hasher, _least, anchors, are_among, levels
+from millrace.llm.substring import Hasher, _least, anchors, are_among, distinct_pairs, levels
 
 WORDS = st.lists(st.sampled_from([b"a", b"b", b"c", b"dd"]), max_size=80)
 
@@ -46,6 +46,8 @@ def test_window_hashes_are_equal_as_windows_are(words, length):
 def test_pairs_of_hashes_are_found_though_one_half_collides(asked, known):
     a, b = (np.array(x, np.uint64).reshape(-1, 2) for x in (asked, known))
     assert are_among(a[:, 0], a[:, 1], b[:, 0], b[:, 1]).tolist() == [x in known for x in asked]
+    if asked:
+        assert set(zip(*(x.tolist() for x in distinct_pairs(a[:, 0], a[:, 1])), strict=True)) == set(asked)
 
 
 @given(WORDS, st.sampled_from([1, 3, 5]))
