@@ -157,29 +157,32 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Bits of a sieve: four megabytes, whatever it is made of.
-SIEVE_BITS = 1 << 25
+#: Bits of a sieve: at least and at most (4 and 128 megabytes), in between sixteen for each key.
+SIEVE_BITS, SIEVE_MOST = 1 << 25, 1 << 30
 _ROW_BITS = 1 << 15
 
 
-def _place(key: Column) -> tuple[Column, Column]:
+def _place(key: Column, bits: int) -> tuple[Column, Column]:
     """Which of a sieve's rows a hashed key falls into, and at which bit."""
-    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
     return F.call_function("div", bit, F.lit(_ROW_BITS).cast("long")), bit % _ROW_BITS
 
 
 def sift(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` whose key may be among the keys of another table, and those whose key is not.
+    """Rows of ``df`` whose key may be among the keys of another table (to be read cheaply, as it is read twice), and those whose key is not.
 
-    The keys' hashes set bits in a table of fixed size, which is broadcast. The second part can so skip a join
-    on the key with its shuffle; the first still needs it. With very many keys the first part is everything.
+    The keys' hashes set bits in a table of bounded size, which is broadcast. The second part can so skip a join
+    on the key with its shuffle; the first still needs it. With far more keys than the largest table has bits, the first part is everything.
     """
-    row, bit = _place(of)
+    wanted, size = 16 * keys.count(), SIEVE_BITS
+    while size < min(wanted, SIEVE_MOST):
+        size *= 2
+    row, bit = _place(of, size)
     rows = keys.select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     at, bits = apart(df, "_row", "_bits")
     rows = written(rows.select(F.col("_row").alias(at), F.col("_bits").alias(bits)), "sieve")
-    row, bit = _place(key)
-    joined = df.join(F.broadcast(rows), row == F.col(at), "left")  # at most SIEVE_BITS
+    row, bit = _place(key, size)
+    joined = df.join(F.broadcast(rows), row == F.col(at), "left")  # at most SIEVE_MOST
     byte = F.conv(F.hex(F.substr(F.col(bits), (F.call_function("div", bit, F.lit(8).cast("long")) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0, F.lit(False))
     return joined.filter(found).select(*df.columns), joined.filter(~found).select(*df.columns)

@@ -14,7 +14,8 @@ which costs time only. Chunks are not shuffled: one row per word occurrence
 would move several times the input.
 
 Nulls encode as the empty text, which has no ids. Null ids decode to the empty
-text. Columns named as an output column are replaced.
+text. Texts of any length are segmented whole. Repeated rows have equal ids each; there are no ties, as every row is encoded by itself.
+An empty table gives no rows. Columns named as an output column are replaced, all others are kept.
 """
 
 from __future__ import annotations

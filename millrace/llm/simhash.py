@@ -286,8 +286,16 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.join(groups, "fp").select("id", "x", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool | None = None) -> DataFrame:
-    """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text."""
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: bool | None = None, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text.
+
+    Groups are those of ``near_duplicates``; with a ``similarity`` (0.8 is the one there is) those of texts whose sets of five-word
+    shingles are as similar by Jaccard. Such sets' fingerprints differ in too many bits for keys of codewords to find all of them,
+    so candidates come from their rarest shingles (``jaccard``)."""
+    if similarity is not None:
+        from . import jaccard
+
+        return keep_least(docs, jaccard.groups(docs, similarity, id=id, text=text), id=id, text=text)
     return keep_least(docs, cut(near_duplicates(docs, id=id, text=text, wide=wide).select("id", "x", "root")), id=id, text=text)
 
 

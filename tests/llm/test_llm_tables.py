@@ -205,6 +205,7 @@ def test_warc_with_a_sieve_that_everything_passes(spark, tmp_path_factory, monke
     from millrace.llm import common as C
 
     monkeypatch.setattr(C, "SIEVE_BITS", 64)
+    monkeypatch.setattr(C, "SIEVE_MOST", 64)
     monkeypatch.setattr(C, "_ROW_BITS", 32)
     rows = [(k, f"u{k}", f"page {k % 70} {k if k % 3 else ''}", "", "", "") for k in range(300)] + PAGE_ROWS
     path = table(spark, rows, PAGES, "pages", tmp_path_factory)
