@@ -112,38 +112,49 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path
+        self._frames: dict[str, DataFrame] = {}
         self._stamps: dict[str, tuple[int, int] | None] = {}
+        self._places: dict[str, tuple] = {}
+        self._seen: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise AttributeError(name)
-        self._stamps[name] = self._stamp(name)
-        own = self._read(name)
-        setattr(self, name, own)
-        return own
+        if name not in self._seen:
+            stamp = self._stamp(name)
+            if name not in self._frames or stamp != self._stamps[name]:
+                self._frames[name], self._stamps[name] = self._read(name), stamp
+            self._seen.add(name)
+        return supplied(self.lineitem) if name == "partsupp" and self.derives_partsupp else self._frames[name]
+
+    def look_again(self) -> None:
+        """When a table is next asked for, see whether its files have changed."""
+        self._seen.clear()
 
     def _stamp(self, name: str) -> tuple[int, int] | None:
         """When a table's file or folder was last changed, and its length; None if there is none."""
-        sc = self._spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}.parquet")
+        if name not in self._places:
+            sc = self._spark.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}.parquet")
+            self._places[name] = path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+        fs, path = self._places[name]
         try:
-            status = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+            status = fs.getFileStatus(path)
         except Py4JJavaError:
             return None
         return status.getModificationTime(), status.getLen()
 
-    def changed(self) -> bool:
-        """Whether a table that has been read has other files now."""
-        return any(self._stamp(name) != stamp for name, stamp in self._stamps.items())
-
-    def _read(self, name: str) -> DataFrame:
+    def _read(self, name: str) -> DataFrame | None:
         try:
-            return typed(self._spark.read.parquet(f"{self._path}/{name}.parquet"), name)
+            found = typed(self._spark.read.parquet(f"{self._path}/{name}.parquet"), name)
         except AnalysisException as e:
             if name != "partsupp" or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             self.derives_partsupp = True
-            return supplied(self.lineitem)
+            return None
+        if name == "partsupp":
+            self.derives_partsupp = False
+        return found
 
     def size(self) -> int:
         """Bytes of all the tables that have files."""
@@ -172,7 +183,9 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
     are then given partitions for the tables' size (``session.fit_shuffles``).
     """
     known = spark.__dict__.setdefault("_millrace_tables", {})
-    if path not in known or known[path].changed():
+    if path in known:
+        known[path].look_again()
+    else:
         known[path] = Tables(spark, path)
         if not spark.sparkContext.master.startswith("local"):
             fit_shuffles(spark, known[path].size())
