@@ -1,6 +1,6 @@
 """``python -m millrace DIR [QUERY...]``: run queries by name over the tables in DIR.
 
-Without names, reads them from standard input, one a line up to an empty one. Results go to
+Without names, reads them from standard input, one a line up to an empty one or ``stop``. Results go to
 result1.csv, result2.csv, ... in the working folder and to standard output; the time that each query took to plan and to run
 goes to standard error, with --trace also the rows and times of its operators.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .plans import QUERIES, STANDARD_QUERIES
 from .session import session
-from .sources import run_batch
+from .sources import load_tables, run_batch
 from .trace import report
 
 
@@ -32,7 +32,7 @@ def main() -> None:
     names = own.queries
     if not names:
         for line in sys.stdin:
-            if not line.strip():
+            if line.strip() in ("", "stop"):
                 break
             names.append(line.split()[0])
     spark = session(own.master)
@@ -44,6 +44,8 @@ def main() -> None:
             print(report(df), end="", file=sys.stderr)
 
     began = time.perf_counter()
+    found = load_tables(spark, own.dir).load()
+    print(f"load: {len(found)} tables in {(time.perf_counter() - began) * 1000:.0f} ms", file=sys.stderr)
     run_batch(spark, own.dir, names, queries, folder=own.distributed or ".", distributed=bool(own.distributed), ran=ran)
     print(f"all: {(time.perf_counter() - began) * 1000:.0f} ms", file=sys.stderr)
     spark.stop()

@@ -156,18 +156,23 @@ class Tables:
             self.derives_partsupp = False
         return found
 
-    def size(self) -> int:
-        """Bytes of all the tables that have files."""
-        total = 0
+    def load(self) -> list[str]:
+        """Look for all tables now; the names of those that have files."""
+        found = []
         for name in TABLES:
             try:
-                raw = self._spark.read.parquet(f"{self._path}/{name}.parquet")
+                getattr(self, name)
             except AnalysisException as e:
                 if e.getCondition() != "PATH_NOT_FOUND":
                     raise
-                continue
-            total += int(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        return total
+            else:
+                found.append(name)
+        return found
+
+    def size(self) -> int:
+        """Bytes of all the tables that have files."""
+        leaves = [getattr(self, name)._jdf.queryExecution().analyzed().collectLeaves() for name in self.load()]
+        return sum(own.apply(k).stats().sizeInBytes() for own in leaves for k in range(own.size()))
 
     def views(self) -> None:
         """Register all as temporary views."""

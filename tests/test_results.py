@@ -1,6 +1,7 @@
 """CSV results, batches by name, and the driver's contract."""
 
 import io
+import os
 
 import pytest
 from conftest import DATA
@@ -67,11 +68,11 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(M, "session", lambda master: spark)
     monkeypatch.setattr(type(spark), "stop", lambda self: None)
     monkeypatch.setattr("sys.argv", ["millrace", SF, "--trace"])
-    monkeypatch.setattr("sys.stdin", io.StringIO("q6\n14\n\nq1\n"))
+    monkeypatch.setattr("sys.stdin", io.StringIO("q6\n14\nstop\nq1\n"))
     M.main()
     got = capsys.readouterr()
     assert "--- query q6 ---" in got.out and "promo_revenue" in got.out and "--- query q1 ---" not in got.out
-    assert "q6: planned in" in got.err and "ran in" in got.err and "Scan parquet" in got.err and "all: " in got.err
+    assert "q6: planned in" in got.err and "ran in" in got.err and "Scan parquet" in got.err and "all: " in got.err and "load: 7 tables" in got.err
 
 
 def test_shuffles_fit_the_input(spark):
@@ -81,7 +82,8 @@ def test_shuffles_fit_the_input(spark):
     from millrace.sources import load_tables
 
     assert partitions_for(0, 8) == 16 and partitions_for(100 << 30, 8) == 400 and partitions_for(1 << 47, 8) == 100_000
-    assert load_tables(spark, SF).size() > 100_000
+    files = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in "region nation customer supplier part orders lineitem".split())
+    assert load_tables(spark, SF).size() == files
 
     class Conf(dict):
         def set(self, k, v):
