@@ -1,13 +1,32 @@
-"""Connected components of links, by alternating large-star and small-star rounds."""
+"""Connected components of links: of a table's, by alternating large-star and small-star rounds, and of arrays within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+class Forest:
+    """Groups of the numbers 0 to n - 1 that links join, a stripe of links at a time; ``label`` is the least of each group."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        label = self.label
+        u, v = label[u], label[v]
+        while (apart := u != v).any():
+            u, v = u[apart], v[apart]
+            np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+            while ((after := label[label]) != label).any():
+                label = after
+            u, v = label[u], label[v]
+        self.label = label
+
+
 def _least(pairs: DataFrame) -> DataFrame:
     """u and its least neighbour m. Cut, so that the join that follows can split a node with many links."""
     return cut(pairs.groupBy("u").agg(F.min("v").alias("m")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, fresh_path, written
-from .components import components
+from .components import Forest, components
 from .warc import filesystem
 
 THRESHOLD = 0.95
@@ -245,24 +245,6 @@ def links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float)
             yield k + left[s + r], to
 
 
-class Forest:
-    """Groups of the numbers 0 to n - 1 that links join, a stripe of links at a time; ``label`` is the least of each group."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, u: np.ndarray, v: np.ndarray) -> None:
-        label = self.label
-        u, v = label[u], label[v]
-        while (apart := u != v).any():
-            u, v = u[apart], v[apart]
-            np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
-            while ((after := label[label]) != label).any():
-                label = after
-            u, v = label[u], label[v]
-        self.label = label
-
-
 def _answer(graph: Graph, unit: np.ndarray, ids: np.ndarray, copies: np.ndarray, block: dict[str, np.ndarray], own: bool, threshold: float) -> pa.RecordBatch:
     """Rows (node, other, links) of a block that asks a shard (``own``: its own one): links of each node, and links that join each group."""
     m, n = len(block["ids"]), len(ids)

@@ -15,8 +15,8 @@ between both). Among at most four differing bits, the segments differ either
 
 Rows with equal keys are compared, and those at four or fewer bits are linked.
 Fingerprints are made distinct first, so copies meet no one. Rows of one key
-are compared in one task up to ``BLOCK`` of them; larger keys are cut into blocks
-and every pair of blocks is compared in a task of its own. From each key come
+are compared in one task up to ``BLOCK`` of them; larger keys are cut into blocks of ``CELL``
+and every pair of blocks is compared in a task of its own, a stripe at a time. From each key come
 the links of a spanning forest, not all pairs.
 
 Null texts count as empty: fingerprint zero, linked like any other. Null ids
@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import apart, cut, sift, written
-from .components import components
+from .components import Forest, components
 
 MAX_BITS = 4
 #: Width and shift of each segment.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
-#: Fingerprints of one key that are compared in one task.
-BLOCK = 2048
+#: Fingerprints of one key that are compared where the key is read, and in a block of a larger key.
+BLOCK, CELL = 2048, 16_384
+_STRIPE = 256
 #: Distinct fingerprints beyond which keys are triples: there some six meet by chance in a key of 24 bits.
 WIDE = 100_000_000
 _SHORT = 16
@@ -165,9 +166,13 @@ def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of uint64 fingerprints, at most one less than there are."""
-    at, to = spanning(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MAX_BITS)
-    return fps[at], fps[to]
+    """Links of a spanning forest of uint64 fingerprints, at most one less than there are; compared a stripe at a time."""
+    groups = Forest(len(fps))
+    for k in range(0, len(fps), _STRIPE):
+        r, c = np.nonzero(np.bitwise_count(fps[k : k + _STRIPE, None] ^ fps[None, k:]) <= MAX_BITS)
+        groups.join(k + r, k + c)
+    at = np.flatnonzero(groups.label != np.arange(len(fps)))
+    return fps[at], fps[groups.label[at]]
 
 
 _LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -262,7 +267,7 @@ def link(distinct: DataFrame, wide: bool | None = None) -> DataFrame:
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _LINKS))
     links = found.filter("b IS NOT NULL").select("a", "b")
     large = found.filter("b IS NULL").select("key", F.col("a").alias("fp"))
-    sizes = cut(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    sizes = cut(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")))
     if sizes.isEmpty():
         return links
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")

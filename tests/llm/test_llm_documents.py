@@ -151,6 +151,7 @@ def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
 
     def roots(block):
         monkeypatch.setattr(S, "BLOCK", block)
+        monkeypatch.setattr(S, "CELL", block)
         compare = S._compare
         monkeypatch.setattr(S, "_compare", lambda batches, b=block: (setattr(S, "BLOCK", b), compare(batches))[1])
         df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")

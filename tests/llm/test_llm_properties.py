@@ -104,6 +104,20 @@ def test_forest_joins_what_links_join(values, bit):
     assert joined == {(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(reach), strict=True)}
 
 
+def test_forest_of_many_alike_takes_little_memory():
+    """32,768 fingerprints within four bits of each other."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 200_000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200_000, dtype=np.uint64)))
+    fps = np.unique(np.concatenate([fps, rng.integers(0, 2**64, 32768 - len(fps), dtype=np.uint64)]))
+    tracemalloc.start()
+    a, _ = forest(fps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 1 + 64 * 63 // 2 - 1 and peak < 400 << 20
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20))
 @settings(max_examples=40, deadline=None)
 def test_keys_are_distinct_for_each_fingerprint(values):

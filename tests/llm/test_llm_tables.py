@@ -552,6 +552,7 @@ def test_graph_recall_and_dense_groups():
 @pytest.mark.parametrize("own", [True, False])
 def test_answers_equal_brute_force(own):
     from millrace.llm import hnsw as H
+    from millrace.llm.components import Forest
 
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.standard_normal((200, 16)), rng.standard_normal(16) + 0.05 * rng.standard_normal((150, 16)), rng.standard_normal(16) + 0.05 * rng.standard_normal((150, 16))])
@@ -571,9 +572,9 @@ def test_answers_equal_brute_force(own):
             if not own:
                 want[int(ids[shard[j]])] += int(copies[at[i]])
     assert {r["node"]: r["links"] for r in rows if r["other"] is None} == dict(want)
-    groups = H.Forest(1000)
+    groups = Forest(1000)
     groups.join(*(np.array([r[c] for r in rows if r["other"] is not None]) for c in ("node", "other")))
-    truth = H.Forest(1000)
+    truth = Forest(1000)
     truth.join(ids[at[np.nonzero(near)[0]]], ids[shard[np.nonzero(near)[1]]])
     assert (groups.label == truth.label).all()
 
