@@ -3,7 +3,7 @@
 A page is read once, by one cursor, as a stream of tags and text (no tree is built, and the time taken grows with the
 page's length alone). Quotes delimit a value only behind an equals sign, as in HTML; one that never closes delimits
 nothing. Block-level tags end a text block. A block has its number of words and link density and those of its
-neighbours, whether it is a heading or a list item or ends like a sentence, and what it lies in: articles, landmarks
+neighbours, whether it is a heading or a list item or ends like a sentence, and what it lies in: articles (by element or role), landmarks
 (menus, footers, sidebars; headers outside an article; more weakly forms and dialogs), containers that hold reader comments, and
 containers whose class or id hints at boilerplate. Hints are weak evidence: they count only below the nearest
 article, and a name that has other words beside the hinting one counts half. A decision tree (Gini, grown here) trained
@@ -62,8 +62,9 @@ _NAMES = frozenset(
 _MAY = frozenset("side rail header foot recommendations register search form tags legal disclaimer skip promotion promoted discussion teaser".split())
 _BOX = frozenset(
     "box wrapper wrap container section block list area top bottom left right site global inner outer item items title text link links button buttons bar panel group"
-    " main page row col unit slot article post posts user reader readers thread body content author meta form count".split()
+    " main page row col unit slot article articles post posts stories reading more topics icon icons enabled email print twitter facebook linkedin whatsapp".split()
 )
+_READER_BOX = _BOX | frozenset("user reader readers thread body content author meta form count".split())
 _READERS = frozenset("comment comments disqus replies respond".split())
 _ABOUT, _LACKS = frozenset("has no with without is js".split()), frozenset("free less none off hidden".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -133,23 +134,26 @@ def tags(page: str) -> Iterator[Tag]:
         at = stop
 
 
-def marks(attributes: str) -> tuple[int, bool]:
-    """How strongly class, id and role hint at boilerplate (0, 1 or 2), and whether they name reader comments."""
-    hint, readers = 0, False
+def marks(attributes: str) -> tuple[int, bool, bool]:
+    """How strongly class, id and role hint at boilerplate (0, 1 or 2), whether they name reader comments, and whether the role is that of an article."""
+    hint, readers, content = 0, False, False
     for m in _ATTRIBUTE.finditer(attributes):
-        if m[1].lower() not in ("class", "id", "role"):
+        kind = m[1].lower()
+        if kind not in ("class", "id", "role"):
             continue
+        if kind == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in _CONTENT:
+            content = True
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = [p.lower() for p in _PARTS.findall(name)]
             if not parts or parts[0] in _ABOUT or not _LACKS.isdisjoint(parts):
                 continue
-            if not _READERS.isdisjoint(parts) and all(p in _READERS or p in _BOX for p in parts):
+            if not _READERS.isdisjoint(parts) and all(p in _READERS or p in _READER_BOX for p in parts):
                 hint, readers = 2, True
             elif not _NAMES.isdisjoint(parts):
                 hint = max(hint, 2 if all(p in _NAMES or p in _BOX for p in parts) else 1)
             elif not _MAY.isdisjoint(parts) or not _READERS.isdisjoint(parts):
                 hint = max(hint, 1)
-    return hint, readers
+    return hint, readers, content
 
 
 def _hidden_spans(own: list[Tag]) -> dict[int, int]:
@@ -196,8 +200,8 @@ class _Place(NamedTuple):
 
     def inside(self, name: str, attributes: str) -> _Place:
         article, landmark, hint, readers = self.article, self.landmark, self.hint, self.readers
-        own, of_readers = marks(attributes) if attributes and name not in ("body", "html") else (0, False)
-        if name in _CONTENT:
+        own, of_readers, content = marks(attributes) if attributes and name not in ("body", "html") else (0, False, False)
+        if name in _CONTENT or content:
             article, hint, landmark = True, 0, 0 if landmark == 1 else landmark
         else:
             if name in _LANDMARK or name == "header" and not article:
@@ -251,7 +255,7 @@ def blocks(page: str) -> list[Block]:
             add(" ", at)
         elif name in _BLOCK:
             flush()
-            own_hint, own_readers = (0, False) if closing or name in _OPEN or not attributes else marks(attributes)
+            own_hint, own_readers = (0, False) if closing or name in _OPEN or not attributes else marks(attributes)[:2]
             if name in _HEADING:
                 heading = not closing
             elif name == "li":

@@ -150,6 +150,17 @@ _LAYOUTS: list[list[tuple[str, str]]] = [
     [("+", "{S}")], [("+", "{T}")], [("+", "<p>{N}</p>")], [("+", "<div>{N} {T}</div>")],
     [("+", "<p>{L}</p>")],
     [("+", "<h1>{T}</h1><p>{S}</p>")],
+    # Long paragraphs between short lines, headings and lists.
+    [
+        ("-", f"<div><a href=/>{{N}}</a></div><div>{_ROW}</div>"),
+        ("+", "<h1>{N}</h1><p>{L} <a href=x>{N}</a>.</p>"), ("-", "<div class=toc role=navigation><h2>{N}</h2><ul><li><a href=1>{N}</a></li><li><a href=2>{T}</a></li></ul></div>"),
+        ("+", "<h2>{T}</h2><p>{S} {L}</p><ul><li>{T}</li><li>{T}</li></ul><p>{L}</p><h2>{N}</h2><p>{L}</p><h3>{T}</h3><p>{S} {S}</p>"),
+        ("-", "<div>{N}</div><ul><li><a href=3>{N}</a></li></ul>"),
+    ],
+    [("-", "<div>{N}</div><div>{T}</div><div>{N}</div>"), ("+", "<div>{L}</div>"), ("-", "<div>{N}</div><div>{N}</div>"), ("+", "<div>{S} {L}</div>"), ("-", "<div>{T}</div><div>{N}</div>")],
+    [("-", "<td><a href=1>{N}</a></td>"), ("+", "<td>{L}</td>"), ("-", "<td><a href=2>{N}</a></td><td>{N}</td>")],
+    [("-", f"{_ROW}<hr>"), ("+", "<h1>{T}</h1><p>{L}</p>"), ("-", "<p>{N}</p><p><a href=1>{N}</a></p>")],
+    [("-", "<div id=top>{N}</div>"), ("+", "<div role=main><h1>{N}</h1><p>{S}</p><p>{N}</p><ul><li>{N}</li><li>{T}</li></ul></div>"), ("-", "<div role=contentinfo>{S}</div>")],
     # Little outside an article, much outside it, and two articles.
     [
         ("-", "<div>{N}</div>"), ("+", "<article><h2>{T}</h2><p>{S}</p></article>"), ("-", "<div class=promo>{S}</div>"),
@@ -163,15 +174,19 @@ _LAYOUTS: list[list[tuple[str, str]]] = [
 ]
 
 
-#: Blocks of every length, in what says what it is: an opening and closing tag, and the mark of what is inside.
+#: Blocks of every length, in what says what it is: an opening and closing tag, and the mark of what is inside (? stands for + from
+#: ``LONG`` words: in an article, a class that names boilerplate is not believed of long texts).
 _SHELLS = [
     ("<article>", "</article>", "+"), ("<main><div>", "</div></main>", "+"), ("<article class='tag-news side'><div class=header>", "</div></article>", "+"),
     ("<form><article>", "</article></form>", "+"), ("<nav>", "</nav>", "-"), ("<aside>", "</aside>", "-"), ("<footer>", "</footer>", "-"), ("<header>", "</header>", "-"),
     ("<article><aside>", "</aside></article>", "-"), ("<div class='comment-list'>", "</div>", "-"), ("<article><div id=comments>", "</div></article>", "-"),
     ("<article><nav>", "</nav></article>", "-"), ("<article><div class='share-links'>", "</div></article>", "-"),
+    ("<div class='cookie-notice'>", "</div>", "-"), ("<div id=sidebar>", "</div>", "-"), ("<div class=ad>", "</div>", "-"),
+    ("<article><div class='promo'>", "</div></article>", "?"), ("<main><section class='banner box'>", "</section></main>", "?"),
     ("<section id=comments><article>", "</article></section>", "-"), ("<article><section class=comments><article>", "</article></section></article>", "-"),
 ]
 _LENGTHS = (1, 2, 4, 1, 9, 30, 2, 75, 5, 200, 15, 3, 1, 45)
+LONG = 45
 
 
 def _of_any_length(words: list[str], turn: int) -> list[tuple[str, str]]:
@@ -179,14 +194,15 @@ def _of_any_length(words: list[str], turn: int) -> list[tuple[str, str]]:
     at, out = turn, []
     for k in range(4):
         opening, closing, mark = _SHELLS[(turn + k * (1 + turn % 3)) % len(_SHELLS)]
-        blocks = []
+        out.append((mark, opening))
         for _ in range(1 + (turn + k) % 5):
             n = _LENGTHS[at % len(_LENGTHS)]
             at += 1
             own = " ".join(words[(at + j) % len(words)] for j in range(n)) + ("." if at % 3 else "")
-            tag = ("p", "li", "p", "h3", "div")[(turn * 2 + k + at) % 5]
-            blocks.append(f"<{tag}><a href=x>{own}</a></{tag}>" if (turn + k) % 3 == 0 else f"<{tag}>{own}</{tag}>")
-        out.append((mark, opening + "".join(blocks) + closing))
+            tag = ("p", "li", "p", "h3", "div")[(turn * 2 + k + at) % 5] if mark != "?" else "p"
+            block = f"<{tag}><a href=x>{own}</a></{tag}>" if (turn + k) % 3 == 0 and mark != "?" else f"<{tag}>{own}</{tag}>"
+            out.append((mark if mark != "?" else "+" if n >= LONG else "-", block))
+        out.append((mark, closing))
     if turn % 2:
         out.append(("+", "<article><h1>" + words[turn % len(words)] + "</h1><p>" + " ".join(words[: 1 + turn % 7])))
     return out
@@ -216,5 +232,5 @@ def pages() -> list[list[tuple[str, str]]]:
             turns = {kind: itertools.cycle(own[k % len(own) :] + own[: k % len(own)]) for kind, own in (("S", sentences), ("L", longer), ("T", titles), ("N", names))}
             out.append([(mark, re.sub(r"\{([SLTN])\}", lambda m, t=turns: next(t[m[1]]), fragment)) for mark, fragment in layout])
         words = " ".join(longer).split()
-        out += [_of_any_length(words, turn) for turn in range(26)] + [_of_boxes(words, turn) for turn in range(30)]
+        out += [_of_any_length(words, turn) for turn in range(40)] + [_of_boxes(words, turn) for turn in range(30)]
     return out

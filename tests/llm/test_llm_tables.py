@@ -321,6 +321,32 @@ def test_html_words_in_class_names_and_quotes_take_no_text(page, text):
     assert main_text(page) == text
 
 
+S = "The council met on Monday and agreed to repair the old bridge."
+L = "Work begins next week and should end in spring, though the engineers warn that heavy rain may delay the plan by a month or more, as it did last year."
+
+
+@pytest.mark.parametrize("page,blocks", [
+    (f"""<body><header class='site-header'><a href=/>Logo</a><form id=find><input type=search><button>Search</button></form></header><div id=content class=page-body role=main>
+        <h1>Bridge</h1><div id=text><p>{L} <a href=x>old bridge</a>.</p><div id=toc role=navigation><h2>Contents</h2><ul><li><a href=#a>1 History</a></li><li><a href=#b>2 Design</a></li></ul></div>
+        <h2>History</h2><p>{S} {L}</p><ul><li>Stone bridge</li><li>Wooden bridge</li></ul><p>{L}</p></div></div><div id=navigation><h2>Navigation menu</h2><ul><li><a>Log in</a></li></ul></div>
+        <footer id=footer><ul><li>This page was last edited on 1 May 2020, at 10:00.</li></ul></footer></body>""",
+     ["Bridge", f"{L} old bridge.", "History", f"{S} {L}", "Stone bridge", "Wooden bridge", L]),
+    (f"""<body class='single has-sidebar'><div id=page><nav><ul><li><a href=/>Home</a></li></ul></nav><main id=main class=site-main><article class='post has-post-thumbnail category-news tag-menu'>
+        <header><h1>Title of post</h1></header><div class=entry><p>{S}</p><p>{L}</p><div class='sharing-enabled'><h3>Share this:</h3><ul><li class=share-twitter><a>Twitter</a></li></ul></div></div></article>
+        <div id=comments class=comments-area><h2 class=comments-title>2 thoughts</h2><ol class=comment-list><li class=comment><article class=comment-body><p>{S} I agree.</p></article></li></ol>
+        <form class=comment-form><p>Leave a reply</p></form></div></main><aside class=widget-area><section class=widget><h2>Recent</h2><ul><li><a>Other</a></li></ul></section></aside></div>""",
+     ["Title of post", S, L]),
+    (f"""<main><article><h1>A</h1><p>{S}</p><div class=ad-container><div class=ad>Buy now cheap</div></div><p>{L}</p><div class='newsletter-signup'><h3>Get our newsletter</h3><p>{S}</p></div><p>End.</p></article>
+        <section class=related-articles><h2>Related</h2><a href=1>One more</a></section></main>""", ["A", S, L, "End."]),
+    (f"<div id=cookie-banner class='cookie-consent'><p>{L}</p></div><article><p>{S}</p></article><div class=modal><p>Subscribe today!</p></div>", [S]),
+    ("<nav><a href=/>ホーム</a></nav><article><h1>古い橋</h1><p>市議会は月曜日に古い橋を修理することを決めました。</p></article><footer>著作権</footer>", ["古い橋", "市議会は月曜日に古い橋を修理することを決めました。"]),
+])
+def test_html_of_pages_as_sites_make_them(page, blocks):
+    from millrace.llm.html import main_text
+
+    assert main_text(page).split("\n\n") == blocks
+
+
 def test_html_tells_text_from_the_rest_where_only_words_and_links_do():
     from millrace.llm.html import main_text
 
