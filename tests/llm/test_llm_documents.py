@@ -754,12 +754,13 @@ def near_copies():
     return rows + [(len(rows) + k, edited(words, pick.randrange(1, 4))) for k in range(1, 61)]
 
 
-@pytest.mark.parametrize("short,block", [(16, 1024), (4, 8), (100, 1024)])
-def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, short, block):
+@pytest.mark.parametrize("short,block,rounds", [(16, 1024, 2), (4, 8, 2), (4, 8, 0), (2, 16, 1), (100, 1024, 2)])
+def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, short, block, rounds):
     import corpus_pipeline as P
     from millrace.llm import jaccard as J
 
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
     meet = J._meet
     monkeypatch.setattr(J, "_meet", lambda batches: (setattr(J, "SHORT", short), meet(batches))[1])
     rows = near_copies()
