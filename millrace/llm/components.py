@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 
 class Forest:
@@ -44,7 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links, and groups are reduced before they are shuffled.
     """
     big, small = F.greatest(a, b), F.least(a, b)
-    pairs = cut(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big.alias("u"), small.alias("v")).distinct())
+    # Written, not checkpointed: checkpoints keep what Catalyst knows of their columns, and after a dozen rounds it is busy with nothing else.
+    pairs = written(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big.alias("u"), small.alias("v")).distinct(), "pairs")
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,7 +54,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = cut(large)
         least = _least(large)
         moved = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        pairs = written(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "pairs")
         before, state = state, _state(pairs)
         if state == before:
             break

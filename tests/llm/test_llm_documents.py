@@ -714,6 +714,22 @@ def test_models_whose_pieces_cross_markers_are_refused():
 # --- Near copies in the pipeline
 
 
+def test_components_of_a_long_chain_take_even_rounds(spark):
+    """A dozen rounds and more: none may take longer to plan than those before."""
+    import time
+
+    from millrace.llm import components as K
+    from pyspark.sql import functions as F
+
+    prepare(spark)
+    n = 30_000
+    began = time.monotonic()
+    links = spark.range(n - 1).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = K.components(links)
+    assert found.select("root").distinct().count() == 1 and found.count() == n
+    assert time.monotonic() - began < 90
+
+
 def jaccard_groups(rows):
     """Ids that stay when one document stays of each group of five-word shingles with Jaccard >= 0.8."""
     sets = []
@@ -761,6 +777,7 @@ def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, shor
 
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "PAYS", 0)
     meet = J._meet
     monkeypatch.setattr(J, "_meet", lambda batches: (setattr(J, "SHORT", short), meet(batches))[1])
     rows = near_copies()
