@@ -2,7 +2,8 @@
 
 1. ``language_id`` learns languages from the documents and drops those it rejects.
 2. ``simhash`` keeps one document of each group of near-duplicates: five-word shingles with a Jaccard similarity of
-   0.8 or more, every pair found and verified (``simhash.keep_one`` with a similarity; fingerprints at four bits do not reach 0.8).
+   0.8 or more. Candidates come from Golay-code keys of SimHash fingerprints and are verified; an exact step adds the links that
+   fingerprints leave out, so that none is missed (``simhash.keep_one`` with a similarity).
 3. ``substring`` removes passages of 50 words that a document with a smaller id has.
 4. ``mix`` takes documents from the sources by target weights, some more than once, some not at all.
 5. ``sentencepiece`` encodes the texts.

@@ -1,9 +1,14 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
-Fingerprints do not find these pairs: at 0.8 two 64-bit SimHashes differ in nine or ten bits, and a radius that
-reaches that far meets most of the corpus. So candidates come from the shingles themselves. All sets are put in
+They are found by SimHash. Each set gets a 64-bit fingerprint of its shingles; fingerprints that meet in a key of Golay codewords and differ
+in at most ``simhash.NEAR_BITS`` bits are candidates (``simhash.link``), bitmaps drop most that are not similar (below), and every pair in a group of
+those that are left is verified by intersection of the sets. Verified links make the first groups.
+
+Fingerprints of similar sets may differ in more bits, or meet in no key: at 0.8 they differ in nine or ten bits, give or take three. An exact
+step finds what is left, the links between sets that are not in one group yet. All sets are put in
 one order of shingles; of n shingles, at least ceil(0.8 n) are in any set that is similar enough, so two such sets share
-one of their first n - ceil(0.8 n) + 1. These are the keys, about one for five words. No similar pair is missed.
+one of their first n - ceil(0.8 n) + 1. These are the keys, about one for five words. No similar pair is missed. Pairs within a group, and keys whose sets are all
+in one, are done and not compared again.
 
 Sets that meet in a key are dropped where sizes and places say that they cannot be similar enough, or where bitmaps do:
 each shingle flips one of about as many bits as the set has shingles, and two bitmaps differ in no more bits than the sets
@@ -32,7 +37,8 @@ from pyspark.sql import types as T
 
 from .common import apart, cut, sift, written
 from .components import components
-from .simhash import spanning
+from .simhash import NEAR_BITS, of_hashes, spanning
+from .simhash import link as near_fingerprints
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -120,15 +126,16 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(known) -> object:
-    kind = pa.struct([("s", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    fields = [("s", T.LongType()), ("n", T.IntegerType()), ("bits", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    kind = pa.struct([("s", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    fields = [("s", T.LongType()), ("n", T.IntegerType()), ("fp", T.LongType()), ("bits", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
 
     @F.arrow_udf(T.StructType([T.StructField(*f) for f in fields]))
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         order = known.value
         for batch in batches:
             sets = [shingles(x) for x in batch.cast(pa.binary()).to_pylist()]
-            yield pa.array([{"s": set_hash(own), "n": len(own), "bits": bitmap(own), "keys": prefix(own, *order)} for own in sets], kind)
+            fps = np.array([of_hashes(own) for own in sets], np.uint64).view(np.int64).tolist()
+            yield pa.array([{"s": set_hash(own), "n": len(own), "fp": fp, "bits": bitmap(own), "keys": prefix(own, *order)} for own, fp in zip(sets, fps, strict=True)], kind)
 
     return keys
 
@@ -282,18 +289,46 @@ def _open_keys(large: DataFrame, roots: DataFrame) -> DataFrame:
     return written(of.join(mixed.select("key"), "key", "left_semi").select("key", "s"), "open")
 
 
-def link(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
-    """(a, b): links that join all sets of each group. ``rows``: id, x, s, n, bits and keys of each row of ``docs``."""
+def _bits_of(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """s, n and own (the bitmap) of the sets (column s, distinct) in ``some``."""
+    return written(rows.select("s", "n", "bits").join(some, "s").groupBy("s").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("own")), "bits")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s")))
+
+
+def _agreeing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and bitmaps agree."""
+    a, b = (bits.select(F.col("s").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
+    sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * DOWN >= F.greatest("n_a", "n_b") * UP)  # no Jaccard is over this quotient
+    return written(sized.filter(bitmaps_agree("n_a", "own_a", "n_b", "own_b")).select("a", "b"), "links")
+
+
+def by_fingerprints(rows: DataFrame) -> DataFrame:
+    """(a, b): candidates whose fingerprints are near or equal, and whose bitmaps agree. ``rows`` as for ``link``."""
+    prints = cut(rows.filter("n > 0").select("fp", "s").distinct())
+    first = cut(prints.groupBy("fp").agg(F.min("s").alias("first")))
+    found = near_fingerprints(first.select("fp"), bits=NEAR_BITS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    x, y = (first.select(F.col("fp").alias(f), F.col("first").alias(c)) for f, c in (("x", "a"), ("y", "b")))
+    equal = prints.join(first, "fp").filter("s != first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    pairs = written(found.join(x, "x").join(y, "y").select("a", "b").unionByName(equal), "pairs")
+    return _agreeing(pairs, _bits_of(_ends(pairs).distinct(), rows))
+
+
+def by_rare_shingles(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links that join all sets which may be similar and are not in one group yet. ``known``: node and root of the groups."""
     distinct = rows.groupBy("s").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     keyed = distinct.select("s", "n", F.posexplode("keys").alias("place", "key")).select("key", "s", "n", "place")
     met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _MET))
     pairs = cut(met.filter("b IS NOT NULL").select("a", "b").distinct())
+    a, b = (known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    unjoined = F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))
+    pairs = written(pairs.join(a, "a", "left").join(b, "b", "left").filter(unjoined).select("a", "b"), "unjoined")
     # Written, not checkpointed: a checkpoint keeps what Catalyst knows of its columns, which grows from round to round.
-    large = written(met.filter("b IS NULL").select("key", F.col("a").alias("s")), "large")
-    some = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).unionByName(large.select("s")).distinct()
-    bits = written(rows.select("s", "n", "bits").join(some, "s").groupBy("s").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("own")), "bits")
-    a, b = (bits.select(F.col("s").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
-    links = written(pairs.join(a, "a").join(b, "b").filter(bitmaps_agree("n_a", "own_a", "n_b", "own_b")).select("a", "b"), "links")
+    large = _open_keys(met.filter("b IS NULL").select("key", F.col("a").alias("s")), known)
+    bits = _bits_of(_ends(pairs).unionByName(large.select("s")).distinct(), rows)
+    links = _agreeing(pairs, bits)
     work = large.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).agg(F.sum(F.col("sets").cast("double") ** 2)).first()[0]
     for _ in range(ROUNDS if work is not None and work >= PAYS else 0):
         if large.isEmpty():
@@ -304,6 +339,11 @@ def link(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
         large = _open_keys(large, components(links))
     if work is not None and not large.isEmpty():
         links = links.unionByName(_linked(large, bits, False))
+    return links
+
+
+def verified(docs: DataFrame, rows: DataFrame, links: DataFrame, *, id: str, text: str) -> DataFrame:
+    """(a, b): links of similar sets that join all of them which the candidates ``links`` join."""
     groups = written(components(links).select(F.col("root").alias("key"), F.col("node").alias("s")), "groups")
     # The sets concerned are made again, each from one text that has it.
     of = rows.select("id", "x", "s").join(groups.select("s"), "s").groupBy("s").agg(F.min(F.struct("x", "id")).alias("of"))
@@ -313,7 +353,14 @@ def link(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
     same = F.col(id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(x))
     made = concerned.join(of, same, "left_semi").select(shingle_sets(F.col(text)).alias("f")).select("f.s", "f.own")
     sets = made.groupBy("s").agg(F.any_value("own").alias("own")).withColumn("n", F.expr("cast(length(own) / 8 as int)"))
-    return _linked(groups, written(sets, "sets"), True)
+    return written(_linked(groups, written(sets, "sets"), True), "verified")
+
+
+def link(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
+    """(a, b): links that join all sets of each group. ``rows``: id, x, s, n, fp, bits and keys of each row of ``docs``."""
+    near = verified(docs, rows, by_fingerprints(rows), id=id, text=text)
+    known = written(components(near), "known")
+    return near.unionByName(verified(docs, rows, by_rare_shingles(rows, known), id=id, text=text))
 
 
 def groups(docs: DataFrame, similarity: float, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,6 +369,6 @@ def groups(docs: DataFrame, similarity: float, *, id: str = "doc_id", text: str
         raise ValueError(f"sets are compared at a similarity of {UP}/{DOWN}")
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))  # at most FREQUENT hashes and counts
     made = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("x"), _keys(known)(F.col(text)).alias("f"))
-    rows = cut(made.select("id", "x", "f.s", "f.n", "f.bits", "f.keys"))
+    rows = cut(made.select("id", "x", "f.s", "f.n", "f.fp", "f.bits", "f.keys"))
     roots = components(link(docs, rows, id=id, text=text)).withColumnRenamed("node", "s")
     return cut(rows.select("id", "x", "s").join(roots, "s", "left").select("id", "x", F.coalesce("root", "s").alias("root")))

@@ -13,7 +13,10 @@ between both). Among at most four differing bits, the segments differ either
   the triples of all three, of 36 bits: some 180 keys a fingerprint instead of 60, but meetings by chance, which grow with the
   corpus for each key, are 4,096 times fewer. Both find the same links.
 
-Rows with equal keys are compared, and those at four or fewer bits are linked.
+Rows with equal keys are compared, and those at four or fewer bits are linked. ``link`` also takes candidates at up to ``NEAR_BITS`` bits, for
+near copies that are verified by their texts (``jaccard``): the keys are then pairs of near codewords of four segments of 16 bits, some 170
+a fingerprint. At most eight differing bits leave two segments with at most two, so all such pairs meet, and most of those beyond. Beyond ``WIDE``
+the keys are triples, by which all pairs at five bits meet.
 Fingerprints are made distinct first, so copies meet no one. Rows of one key
 are compared in one task up to ``BLOCK`` of them; larger keys are cut into blocks of ``CELL``
 and every pair of blocks is compared in a task of its own, a stripe at a time. From each key come
@@ -46,6 +49,9 @@ SEGMENTS = ((22, 42), (21, 21), (21, 0))
 #: Fingerprints of one key that are compared where the key is read, and in a block of a larger key.
 BLOCK, CELL = 2048, 16_384
 _STRIPE = 256
+#: Bits, and segments, for candidates that are verified: at a Jaccard similarity of 0.8 sets' fingerprints differ in some ten bits.
+NEAR_BITS = 16
+NEAR_SEGMENTS = ((16, 48), (16, 32), (16, 16), (16, 0))
 #: Distinct fingerprints beyond which keys are triples: there some six meet by chance in a key of 24 bits.
 WIDE = 100_000_000
 _SHORT = 16
@@ -110,6 +116,31 @@ def fuzzy_keys(fingerprints: np.ndarray, wide: bool = False) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def near_keys(fingerprints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys of uint64 fingerprints by which those at up to ``NEAR_BITS`` bits are looked for."""
+    near = [near_codewords(((fingerprints >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.uint32), w) for w, s in NEAR_SEGMENTS]
+    rows, keys = [], []
+    for kind, (first, *others) in enumerate(combinations(near, 3 if wide else 2)):
+        r, c = np.nonzero(first >= 0)
+        key = np.int64(kind) << 40 | first[r, c]
+        for codes in others:
+            at, k = np.nonzero(codes[r] >= 0)
+            r, key = r[at], key[at] >> 40 << 40 | (key[at] & ((1 << 28) - 1)) << 12 | codes[r[at], k]
+        rows.append(r)
+        keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of some shingles' hashes: a bit is set if it is in over half of them."""
+    values = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(values), 1 << 15):
+        total += np.unpackbits(values[k : k + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    bits = 2 * total > len(hashes)
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes | None, words: int = 4) -> int:
     """The 64-bit fingerprint: a bit is set if it is in over half of the shingles' hashes."""
     own = (text or b"").lower().split()  # of bytes: ASCII only
@@ -123,12 +154,7 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    values = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    total = np.zeros(64, np.int64)
-    for k in range(0, len(values), 1 << 15):
-        total += np.unpackbits(values[k : k + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = 2 * total > len(hashes)
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return of_hashes(np.array(hashes, np.uint64))
 
 
 @F.arrow_udf(T.LongType())
@@ -139,13 +165,15 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(values.view(np.int64))
 
 
-def _keyed(wide: bool):
+def _keyed(wide: bool, bits: int):
+    keys_of = fuzzy_keys if bits <= MAX_BITS else near_keys
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(fps), 4096):
                 own = fps[k : k + 4096]
-                rows, keys = fuzzy_keys(own, wide)
+                rows, keys = keys_of(own, wide)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], names=["key", "fp"])
 
     return keyed
@@ -165,11 +193,11 @@ def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, label[at]
 
 
-def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of uint64 fingerprints, at most one less than there are; compared a stripe at a time."""
     groups = Forest(len(fps))
     for k in range(0, len(fps), _STRIPE):
-        r, c = np.nonzero(np.bitwise_count(fps[k : k + _STRIPE, None] ^ fps[None, k:]) <= MAX_BITS)
+        r, c = np.nonzero(np.bitwise_count(fps[k : k + _STRIPE, None] ^ fps[None, k:]) <= bits)
         groups.join(k + r, k + c)
     at = np.flatnonzero(groups.label != np.arange(len(fps)))
     return fps[at], fps[groups.label[at]]
@@ -178,7 +206,7 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     """From rows in order of key: links (key null), and the rows of keys that are too large (b null)."""
     kept_keys, kept = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     overflow: int | None = None
@@ -197,11 +225,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = live[keys[live] == keys[live + d]]
             if not len(live):
                 break
-            hit = live[np.bitwise_count(fps[live] ^ fps[live + d]) <= MAX_BITS]
+            hit = live[np.bitwise_count(fps[live] ^ fps[live + d]) <= bits]
             a.append(fps[hit])
             b.append(fps[hit + d])
         for s, n in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist(), strict=True):
-            x, y = forest(fps[s : s + n])
+            x, y = forest(fps[s : s + n], bits)
             a.append(x)
             b.append(y)
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.uint64)
@@ -237,10 +265,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_cells(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     """Links of rows (cell, fp) in order of cell; a cell holds two blocks at most."""
     def done(fps: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = forest(np.unique(np.concatenate(fps)))
+        a, b = forest(np.unique(np.concatenate(fps)), bits)
         return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "a", "b"])
 
     current, own = None, []
@@ -259,12 +287,17 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(own)
 
 
-def link(distinct: DataFrame, wide: bool | None = None) -> DataFrame:
-    """(a, b): links that join all fingerprints (column fp, distinct) of each group."""
+def _at(compare, bits: int):
+    return compare if bits == MAX_BITS else lambda batches: compare(batches, bits)
+
+
+def link(distinct: DataFrame, wide: bool | None = None, bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links that join all fingerprints (column fp, distinct) of each group at up to ``MAX_BITS`` bits; with ``NEAR_BITS``,
+    links between those that meet in a key at up to so many bits (in keys of over ``_SHORT`` again by a spanning forest)."""
     if wide is None:
         wide = distinct.count() > WIDE
-    keyed = distinct.select("fp").mapInArrow(_keyed(wide), "key long, fp long")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _LINKS))
+    keyed = distinct.select("fp").mapInArrow(_keyed(wide, bits), "key long, fp long")
+    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_at(_compare, bits), _LINKS))
     links = found.filter("b IS NOT NULL").select("a", "b")
     large = found.filter("b IS NULL").select("key", F.col("a").alias("fp"))
     sizes = cut(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")))
@@ -275,7 +308,7 @@ def link(distinct: DataFrame, wide: bool | None = None) -> DataFrame:
         large.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.concat_ws("/", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
     )
-    more = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_cells, _LINKS)
+    more = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_at(_compare_cells, bits), _LINKS)
     return links.unionByName(more.select("a", "b"))
 
 
@@ -295,8 +328,8 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wide: b
     """The rows of ``docs``, one of each group: the one with the smallest id (nulls last), then the smallest hash of text.
 
     Groups are those of ``near_duplicates``; with a ``similarity`` (0.8 is the one there is) those of texts whose sets of five-word
-    shingles are as similar by Jaccard. Such sets' fingerprints differ in too many bits for keys of codewords to find all of them,
-    so candidates come from their rarest shingles (``jaccard``)."""
+    shingles are as similar by Jaccard: candidates at up to ``NEAR_BITS`` bits of fingerprints of these, verified by the sets, and what
+    fingerprints leave apart is then completed (``jaccard``)."""
     if similarity is not None:
         from . import jaccard
 

@@ -787,6 +787,42 @@ def test_pipeline_keeps_one_of_texts_similar_by_jaccard(spark, monkeypatch, shor
     assert sorted(r.doc_id for r in kept) == sorted(want)
 
 
+@pytest.mark.parametrize("wide,bits", [(False, 0), (False, 1), (False, 4), (False, 8), (True, 0), (True, 5)])
+def test_fingerprints_of_near_copies_share_a_key(bits, wide):
+    from millrace.llm.simhash import near_keys
+
+    rng, pick = np.random.default_rng(bits), random.Random(bits)
+    a = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    b = a ^ np.array([sum(1 << k for k in pick.sample(range(64), bits)) for _ in a], np.uint64)
+    own, other = (list(zip(*(x.tolist() for x in near_keys(v, wide)), strict=True)) for v in (a, b))
+    assert len(set(own)) == len(own) and len({r for r, _ in set(own) & set(other)}) == 400
+
+
+def test_pipeline_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without the exact step after them, fingerprints give nearly all near copies, and nothing else."""
+    import corpus_pipeline as P
+    from millrace.llm import jaccard as J
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "by_rare_shingles", lambda rows, known: known.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0))
+    rows = near_copies()
+    want = jaccard_groups(rows)
+    kept = {r.doc_id for r in P.simhash(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert want <= kept and len(rows) - len(kept) >= 0.95 * (len(rows) - len(want))
+
+
+def test_pipeline_adds_near_copies_that_fingerprints_leave_out(spark, monkeypatch):
+    import corpus_pipeline as P
+    from millrace.llm import jaccard as J
+    from pyspark.sql import functions as F
+
+    rows = near_copies()
+    found = J.by_fingerprints
+    monkeypatch.setattr(J, "by_fingerprints", lambda rows: found(rows).filter(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0))
+    kept = [r.doc_id for r in P.simhash(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert sorted(kept) == sorted(jaccard_groups(rows))
+
+
 @pytest.mark.parametrize("at,size", [(89, 190), (329, 380), (521, 570)])
 def test_mpeg_payload_that_looks_like_a_trailing_tag(at, size):
     from millrace.llm import mpeg as M
