@@ -1,7 +1,8 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
 They are found by SimHash. Each set gets a 64-bit fingerprint of its shingles; fingerprints that meet in a key of Golay codewords and differ
-in at most ``simhash.NEAR_BITS`` bits are candidates (``simhash.link``), bitmaps drop most that are not similar (below), and every pair in a group of
+in at most ``simhash.NEAR_BITS`` bits, and agree in what is beside them (a second fingerprint and the size: else the pairs that are near by chance would grow
+with the square of the corpus), are candidates (``simhash.link``), bitmaps drop most that are not similar (below), and every pair in a group of
 those that are left is verified by intersection of the sets. Verified links make the first groups.
 
 Fingerprints of similar sets may differ in more bits, or meet in no key: at 0.8 they differ in nine or ten bits, give or take three. An exact
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import apart, cut, sift, written
 from .components import components
-from .simhash import NEAR_BITS, of_hashes, spanning
+from .simhash import NEAR_BITS, beside, of_hashes, spanning
 from .simhash import link as near_fingerprints
 
 WORDS = 5
@@ -126,16 +127,17 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(known) -> object:
-    kind = pa.struct([("s", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    fields = [("s", T.LongType()), ("n", T.IntegerType()), ("fp", T.LongType()), ("bits", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    kind = pa.struct([("s", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("beside", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    fields = [("s", T.LongType()), ("n", T.IntegerType()), ("fp", T.LongType()), ("beside", T.LongType()), ("bits", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
 
     @F.arrow_udf(T.StructType([T.StructField(*f) for f in fields]))
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         order = known.value
         for batch in batches:
             sets = [shingles(x) for x in batch.cast(pa.binary()).to_pylist()]
-            fps = np.array([of_hashes(own) for own in sets], np.uint64).view(np.int64).tolist()
-            yield pa.array([{"s": set_hash(own), "n": len(own), "fp": fp, "bits": bitmap(own), "keys": prefix(own, *order)} for own, fp in zip(sets, fps, strict=True)], kind)
+            fps, more = (np.array([of(own) for own in sets], np.uint64).view(np.int64).tolist() for of in (of_hashes, beside))
+            made = zip(sets, fps, more, strict=True)
+            yield pa.array([{"s": set_hash(own), "n": len(own), "fp": fp, "beside": b, "bits": bitmap(own), "keys": prefix(own, *order)} for own, fp, b in made], kind)
 
     return keys
 
@@ -306,12 +308,12 @@ def _agreeing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def by_fingerprints(rows: DataFrame) -> DataFrame:
-    """(a, b): candidates whose fingerprints are near or equal, and whose bitmaps agree. ``rows`` as for ``link``."""
-    prints = cut(rows.filter("n > 0").select("fp", "s").distinct())
-    first = cut(prints.groupBy("fp").agg(F.min("s").alias("first")))
-    found = near_fingerprints(first.select("fp"), bits=NEAR_BITS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    """(a, b): candidates whose fingerprints are near (with what is beside them) or equal, and whose bitmaps agree. ``rows`` as for ``link``."""
+    prints = cut(rows.filter("n > 0").select("fp", "beside", "s").distinct())
+    first = cut(prints.groupBy("fp").agg(F.min(F.struct("s", "beside")).alias("m")).select("fp", F.col("m.s").alias("first"), "m.beside"))
+    found = near_fingerprints(first, bits=NEAR_BITS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     x, y = (first.select(F.col("fp").alias(f), F.col("first").alias(c)) for f, c in (("x", "a"), ("y", "b")))
-    equal = prints.join(first, "fp").filter("s != first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    equal = prints.select("fp", "s").join(first.select("fp", "first"), "fp").filter("s != first").select(F.col("first").alias("a"), F.col("s").alias("b"))
     pairs = written(found.join(x, "x").join(y, "y").select("a", "b").unionByName(equal), "pairs")
     return _agreeing(pairs, _bits_of(_ends(pairs).distinct(), rows))
 
@@ -357,7 +359,7 @@ def verified(docs: DataFrame, rows: DataFrame, links: DataFrame, *, id: str, tex
 
 
 def link(docs: DataFrame, rows: DataFrame, *, id: str, text: str) -> DataFrame:
-    """(a, b): links that join all sets of each group. ``rows``: id, x, s, n, fp, bits and keys of each row of ``docs``."""
+    """(a, b): links that join all sets of each group. ``rows``: id, x, s, n, fp, beside, bits and keys of each row of ``docs``."""
     near = verified(docs, rows, by_fingerprints(rows), id=id, text=text)
     known = written(components(near), "known")
     return near.unionByName(verified(docs, rows, by_rare_shingles(rows, known), id=id, text=text))
@@ -369,6 +371,6 @@ def groups(docs: DataFrame, similarity: float, *, id: str = "doc_id", text: str
         raise ValueError(f"sets are compared at a similarity of {UP}/{DOWN}")
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))  # at most FREQUENT hashes and counts
     made = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("x"), _keys(known)(F.col(text)).alias("f"))
-    rows = cut(made.select("id", "x", "f.s", "f.n", "f.fp", "f.bits", "f.keys"))
+    rows = cut(made.select("id", "x", "f.s", "f.n", "f.fp", "f.beside", "f.bits", "f.keys"))
     roots = components(link(docs, rows, id=id, text=text)).withColumnRenamed("node", "s")
     return cut(rows.select("id", "x", "s").join(roots, "s", "left").select("id", "x", F.coalesce("root", "s").alias("root")))

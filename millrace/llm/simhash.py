@@ -16,7 +16,8 @@ between both). Among at most four differing bits, the segments differ either
 Rows with equal keys are compared, and those at four or fewer bits are linked. ``link`` also takes candidates at up to ``NEAR_BITS`` bits, for
 near copies that are verified by their texts (``jaccard``): the keys are then pairs of near codewords of four segments of 16 bits, some 170
 a fingerprint. At most eight differing bits leave two segments with at most two, so all such pairs meet, and most of those beyond. Beyond ``WIDE``
-the keys are triples, by which all pairs at five bits meet.
+the keys are triples, by which all pairs at five bits meet. At so many bits unrelated texts are near by chance, one pair in 26,000, which grows with the square of
+the corpus. So these fingerprints travel with ``beside`` them 48 bits of a second one and the size of the set, and only those near by all three are linked.
 Fingerprints are made distinct first, so copies meet no one. Rows of one key
 are compared in one task up to ``BLOCK`` of them; larger keys are cut into blocks of ``CELL``
 and every pair of blocks is compared in a task of its own, a stripe at a time. From each key come
@@ -52,6 +53,9 @@ _STRIPE = 256
 #: Bits, and segments, for candidates that are verified: at a Jaccard similarity of 0.8 sets' fingerprints differ in some ten bits.
 NEAR_BITS = 16
 NEAR_SEGMENTS = ((16, 48), (16, 32), (16, 16), (16, 0))
+#: Bits at which candidates may differ in both fingerprints (64 and 48 bits) together, of which at that similarity some 17 do, give or take four,
+#: and of unrelated ones 56; and steps of sizes, by which none so similar are apart: 2,048 to a doubling, of which a quarter more is 660.
+NEAR_ALL, LEVELS, NEAR_LEVELS = 26, 2048, 660
 #: Distinct fingerprints beyond which keys are triples: there some six meet by chance in a key of 24 bits.
 WIDE = 100_000_000
 _SHORT = 16
@@ -141,6 +145,13 @@ def of_hashes(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def beside(hashes: np.ndarray) -> int:
+    """What goes beside the fingerprint of a candidate: 48 bits of one of the hashes mixed anew, and 16 of the logarithm of their number."""
+    level = int(np.log2(max(1, len(hashes))) * LEVELS)
+    mixed = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return of_hashes(mixed) >> 16 << 16 | min(level, (1 << 16) - 1)
+
+
 def fingerprint(text: bytes | None, words: int = 4) -> int:
     """The 64-bit fingerprint: a bit is set if it is in over half of the shingles' hashes."""
     own = (text or b"").lower().split()  # of bytes: ASCII only
@@ -170,11 +181,11 @@ def _keyed(wide: bool, bits: int):
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 4096):
-                own = fps[k : k + 4096]
-                rows, keys = keys_of(own, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], names=["key", "fp"])
+            columns = [c.to_numpy() for c in batch.columns]
+            for k in range(0, batch.num_rows, 4096):
+                own = [c[k : k + 4096] for c in columns]
+                rows, keys = keys_of(own[0].view(np.uint64), wide)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in own)], names=["key", *batch.schema.names])
 
     return keyed
 
@@ -193,28 +204,58 @@ def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, label[at]
 
 
-def forest(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of uint64 fingerprints, at most one less than there are; compared a stripe at a time."""
-    groups = Forest(len(fps))
+def _columns(own: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Fingerprints and what is beside them, of rows of one or both."""
+    fps, *more = (np.ascontiguousarray(c) for c in own.T)
+    return fps, more[0] if more else None
+
+
+def _agree(fps: np.ndarray, more: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of fingerprints that are near, those that also agree in what is beside them, if anything is."""
+    if more is None:
+        return i, j
+    differ = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count((more[i] ^ more[j]) >> np.uint64(16))
+    levels = [(more[k] & np.uint64(0xFFFF)).astype(np.int64) for k in (i, j)]
+    ok = (differ <= NEAR_ALL) & (np.abs(levels[0] - levels[1]) <= NEAR_LEVELS)
+    return i[ok], j[ok]
+
+
+def forest(fps: np.ndarray, bits: int = MAX_BITS, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of uint64 fingerprints (and perhaps ``more``, beside them), at most one less than there are; compared a
+    stripe at a time. Each is linked to the least of its group, so that groups that share many keys give few different links."""
+    order = np.argsort(fps)
+    fps, more, groups = fps[order], None if more is None else more[order], Forest(len(fps))
     for k in range(0, len(fps), _STRIPE):
         r, c = np.nonzero(np.bitwise_count(fps[k : k + _STRIPE, None] ^ fps[None, k:]) <= bits)
-        groups.join(k + r, k + c)
+        groups.join(*_agree(fps, more, k + r, k + c))
     at = np.flatnonzero(groups.label != np.arange(len(fps)))
     return fps[at], fps[groups.label[at]]
 
 
-_LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "a", "b", "beside")])
+
+
+def _link_rows(key, a, b, beside) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, beside)], names=_LINKS.names)
+
+
+def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = [None] * len(a)
+    return _link_rows(none, a.view(np.int64), b.view(np.int64), none)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
-    """From rows in order of key: links (key null), and the rows of keys that are too large (b null)."""
-    kept_keys, kept = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """From rows (key, fp and perhaps beside) in order of key: links (key null), and the rows of keys that are too large (b null)."""
+    kept_keys, kept = np.zeros(0, np.int64), None
     overflow: int | None = None
 
-    def rows(key, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], names=["key", "a", "b"])
+    def too_large(keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        fps, more = _columns(own)
+        none = [None] * len(keys)
+        return _link_rows(keys, fps.view(np.int64), none, none if more is None else more.view(np.int64))
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+    def links(keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch | None:
+        fps, more = _columns(own)
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         size = np.repeat(sizes, sizes)
@@ -226,58 +267,59 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterato
             if not len(live):
                 break
             hit = live[np.bitwise_count(fps[live] ^ fps[live + d]) <= bits]
-            a.append(fps[hit])
-            b.append(fps[hit + d])
+            i, j = _agree(fps, more, hit, hit + d)
+            a.append(fps[i])
+            b.append(fps[j])
         for s, n in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist(), strict=True):
-            x, y = forest(fps[s : s + n], bits)
+            x, y = forest(fps[s : s + n], bits, None if more is None else more[s : s + n])
             a.append(x)
             b.append(y)
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.uint64)
-        if len(pairs):
-            return rows([None] * len(pairs), pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64))
-        return None
+        return _found(pairs[:, 0].copy(), pairs[:, 1].copy()) if len(pairs) else None
 
     for batch in batches:
         keys = np.concatenate([kept_keys, batch.column(0).to_numpy()])
-        fps = np.concatenate([kept, batch.column(1).to_numpy().view(np.uint64)])
+        own = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
+        own = own if kept is None else np.concatenate([kept, own])
         if overflow is not None:
             n = int(np.searchsorted(keys, overflow, "right"))
-            yield rows(keys[:n], fps[:n].view(np.int64), [None] * n)
-            keys, fps = keys[n:], fps[n:]
+            yield too_large(keys[:n], own[:n])
+            keys, own = keys[n:], own[n:]
             overflow = None if len(keys) else overflow
         if not len(keys):
-            kept_keys, kept = keys, fps
+            kept_keys, kept = keys, own
             continue
         last = int(np.searchsorted(keys, keys[-1]))
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         for s, n in zip(starts[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist(), strict=True):
-            yield rows(keys[s : s + n], fps[s : s + n].view(np.int64), [None] * n)
+            yield too_large(keys[s : s + n], own[s : s + n])
             if s == last:
                 overflow = int(keys[-1])
         ok = np.repeat(sizes <= BLOCK, sizes)
         head = np.flatnonzero(ok[:last])
-        if len(head) and (found := links(keys[head], fps[head])) is not None:
+        if len(head) and (found := links(keys[head], own[head])) is not None:
             yield found
         tail = np.arange(last, len(keys)) if overflow is None else np.zeros(0, np.int64)
-        kept_keys, kept = keys[tail], fps[tail]
-    if len(kept) > 1 and (found := links(kept_keys, kept)) is not None:
+        kept_keys, kept = keys[tail], own[tail]
+    if len(kept_keys) > 1 and (found := links(kept_keys, kept)) is not None:
         yield found
 
 
 def _compare_cells(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
-    """Links of rows (cell, fp) in order of cell; a cell holds two blocks at most."""
-    def done(fps: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = forest(np.unique(np.concatenate(fps)), bits)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "a", "b"])
+    """Links of rows (cell, fp and perhaps beside) in order of cell; a cell holds two blocks at most."""
+    def done(own: list[np.ndarray]) -> pa.RecordBatch:
+        fps, more = _columns(np.unique(np.concatenate(own), axis=0))
+        return _found(*forest(fps, bits, more))
 
     current, own = None, []
     for batch in batches:
-        cells, fps = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy().view(np.uint64)
+        cells = np.array(batch.column(0).to_pylist())
         if not len(cells):
             continue
+        rows = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
         cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
-        for part, cell in zip(np.split(fps, cuts), cells[np.concatenate([[0], cuts])], strict=True):
+        for part, cell in zip(np.split(rows, cuts), cells[np.concatenate([[0], cuts])], strict=True):
             if cell != current and own:
                 yield done(own)
                 own = []
@@ -293,20 +335,22 @@ def _at(compare, bits: int):
 
 def link(distinct: DataFrame, wide: bool | None = None, bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) of each group at up to ``MAX_BITS`` bits; with ``NEAR_BITS``,
-    links between those that meet in a key at up to so many bits (in keys of over ``_SHORT`` again by a spanning forest)."""
+    links between those that meet in a key at up to so many bits and agree in the column ``beside``, if there is one (in keys of over
+    ``_SHORT`` again by a spanning forest)."""
     if wide is None:
         wide = distinct.count() > WIDE
-    keyed = distinct.select("fp").mapInArrow(_keyed(wide, bits), "key long, fp long")
+    columns = [c for c in ("fp", "beside") if c in distinct.columns]
+    keyed = distinct.select(*columns).mapInArrow(_keyed(wide, bits), ", ".join(f"{c} long" for c in ("key", *columns)))
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_at(_compare, bits), _LINKS))
     links = found.filter("b IS NOT NULL").select("a", "b")
-    large = found.filter("b IS NULL").select("key", F.col("a").alias("fp"))
+    large = found.filter("b IS NULL").select("key", F.col("a").alias("fp"), "beside").select("key", *columns)
     sizes = cut(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")))
     if sizes.isEmpty():
         return links
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cells = (
         large.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.concat_ws("/", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+        .select(F.concat_ws("/", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *columns)
     )
     more = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_at(_compare_cells, bits), _LINKS)
     return links.unionByName(more.select("a", "b"))

@@ -811,6 +811,45 @@ def test_pipeline_finds_near_copies_by_fingerprints(spark, monkeypatch):
     assert want <= kept and len(rows) - len(kept) >= 0.95 * (len(rows) - len(want))
 
 
+def test_pipeline_takes_no_unrelated_texts_for_candidates(spark, monkeypatch):
+    """At sixteen of 64 bits, some 300 of the eight million pairs of these would be near by chance."""
+    import corpus_pipeline as P
+    from millrace.llm import jaccard as J
+
+    pick = random.Random(7)
+    rows = [(k, " ".join(f"w{pick.randrange(10**6)}" for _ in range(60))) for k in range(4000)]
+    rows += [(4000 + k, rows[k][1] + " more") for k in range(20)]
+    link, seen = J.near_fingerprints, []
+    monkeypatch.setattr(J, "near_fingerprints", lambda *args, **kw: seen.append(link(*args, **kw)) or seen[-1])
+    kept = [r.doc_id for r in P.simhash(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert sorted(kept) == list(range(4000))
+    assert 15 <= len({frozenset(r) for r in seen[0].collect()}) < 25
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_what_is_beside_fingerprints_keeps_pairs_apart_in_keys_of_any_size(spark, monkeypatch, block):
+    """Alike in 64 bits, but of two second fingerprints and two sizes: four groups; sizes a quarter apart stay linked."""
+    from millrace.llm import simhash as S
+    from millrace.llm.components import components
+
+    pick = random.Random(2)
+    fps = sorted({0x0123456789ABCDEF ^ sum(1 << k for k in pick.sample(range(64), 2)) for _ in range(400)})
+    second = (0, (1 << 63) - (1 << 16))
+    sizes = [S.beside(np.arange(n, dtype=np.uint64)) & 0xFFFF for n in (100, 125, 200, 250)]
+    rows = [(int(np.uint64(fp).view(np.int64)), second[k % 2] | sizes[pick.randrange(2) + k // 2 % 2 * 2]) for k, fp in enumerate(fps)]
+    compare = S._compare
+    monkeypatch.setattr(S, "CELL", block)
+    monkeypatch.setattr(S, "_compare", lambda batches, bits: (setattr(S, "BLOCK", block), compare(batches, bits))[1])
+    links = S.link(spark.createDataFrame(rows, "fp long, beside long"), bits=S.NEAR_BITS).collect()
+    groups = {}
+    for r in components(spark.createDataFrame(links, "a long, b long")).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    want = {}
+    for fp, more in rows:
+        want.setdefault((more >> 16, sizes.index(more & 0xFFFF) // 2), set()).add(fp)
+    assert len(want) == 4 and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_pipeline_adds_near_copies_that_fingerprints_leave_out(spark, monkeypatch):
     import corpus_pipeline as P
     from millrace.llm import jaccard as J
